@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruleframe.llm import decontaminate, line_dedup, near_dup, packing, sharding, topk, toxicity
+from ruleframe.llm import decontaminate, line_dedup, near_dup, packing, pii, sharding, topk, toxicity
 from ruleframe.llm.common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16))
 
@@ -41,6 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_histogram_sharding": op3_histogram_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
