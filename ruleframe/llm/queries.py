@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruleframe.llm import decontaminate, line_dedup, near_dup, packing, pii, sharding, topk, toxicity
+from ruleframe.llm import chat, decontaminate, licenses, line_dedup, near_dup, packing, pii, sharding, topk, toxicity
 from ruleframe.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -18,6 +22,10 @@ def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16))
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_documents=10))
 
@@ -45,8 +53,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
     "op3_histogram_sharding": op3_histogram_sharding,
+    "op4_chat_repair": op4_chat_repair,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_top_k": op7_exact_top_k,
