@@ -138,6 +138,14 @@ class Scanner:
             mask[[self.words[w] for w in t]] = True
             self.sets.append(mask)
 
+    @staticmethod
+    def _match(words: list[bytes], start: int, width: int, template: list[bytes], need: int) -> tuple[int, int, int] | None:
+        """First and end word and matched words of an alignment that begins at ``start``."""
+        pairs = align(words[start : start + width], template)
+        if len(pairs) < need or pairs[0][0] > 0 or len(pairs) < DENSITY * (pairs[-1][0] + 1):
+            return None
+        return start, start + pairs[-1][0] + 1, len(pairs)
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, int, int]]:
         """(first word, end word, license, matched words, template words)."""
         words = words_of(text)
@@ -155,18 +163,22 @@ class Scanner:
             hits = np.flatnonzero(mask[ids])
             width = int(len(template) * SPREAD) + 2
             close = np.searchsorted(hits, hits + width) - np.arange(len(hits)) >= need
-            at = 0
-            for start in hits[close].tolist():
-                if start < at:
-                    continue
-                pairs = align(words[start : start + width], template)
-                # The alignment may begin late: a tighter one follows from a later start.
-                if not pairs or pairs[0][0] > 0:
+            starts = hits[close].tolist()
+            i = 0
+            while i < len(starts):
+                match = self._match(words, starts[i], width, template, need)
+                if not match:
+                    i += 1
                     continue
-                first, end = start, start + pairs[-1][0] + 1
-                if len(pairs) >= need and len(pairs) >= DENSITY * (end - first):
-                    found.append((first, end, name, len(pairs), len(template)))
-                    at = end
+                # A stray word may stand before the notice: later starts can match as much in less text.
+                j = i + 1
+                while j < len(starts) and starts[j] < match[1] - need + 1:
+                    other = self._match(words, starts[j], width, template, need)
+                    if other and (-other[2], other[1] - other[0]) < (-match[2], match[1] - match[0]):
+                        match = other
+                    j += 1
+                found.append((match[0], match[1], name, match[2], len(template)))
+                i = bisect_left(starts, match[1], i + 1)
         kept: list[tuple[int, int, str, int, int]] = []
         for f in sorted(found, key=lambda f: (-f[3], -f[3] / f[4], f[0], f[2])):
             if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
