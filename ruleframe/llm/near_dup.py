@@ -153,7 +153,9 @@ def _short_pairs(posts: DataFrame, percent: int, matches: int) -> DataFrame:
 
 
 def _prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
-    """Post each set under its rarest shingles: ``id, n, mean, shingle``.
+    """Post each set under its rarest shingles: ``id, n, mean, at, shingle``.
+
+    ``at`` is the place of the shingle in the set, rarest first.
 
     A set of n shingles that is linked shares at least ceil(n * t) of them, so
     one of its n - ceil(n * t) + 1 rarest is among the rarest of the other.
@@ -166,17 +168,27 @@ def _prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
     return (
         known.withColumn("room", room)
         .where(F.col("room") > 0)
-        .select("id", "n", (F.expr("aggregate(c, 0D, (s, x) -> s + x.df)") / F.col("n")).alias("mean"), F.explode(F.expr("slice(c, 1, cast(room as int))")).alias("p"))
-        .select("id", "n", "mean", F.col("p.shingle").alias("shingle"))
+        .select("id", "n", (F.expr("aggregate(c, 0D, (s, x) -> s + x.df)") / F.col("n")).alias("mean"), (F.col("n") - F.size("c")).alias("alone"), F.posexplode(F.expr("slice(c, 1, cast(room as int))")).alias("i", "p"))
+        .select("id", "n", "mean", (F.col("alone") + F.col("i")).alias("at"), F.col("p.shingle").alias("shingle"))
     )
 
 
+def _reachable(percent: int, a: str = "na", b: str = "nb", at_a: str = "pa", at_b: str = "pb"):
+    """What follows the first shared shingle must suffice for the similarity.
+
+    A pair is judged at each shingle it shares; the first one decides rightly,
+    and any later one only repeats or misses it.
+    """
+    needed = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - F.lit(1e-9))
+    return F.least(F.col(a) - F.col(at_a), F.col(b) - F.col(at_b)) >= needed
+
+
 def _pivot_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """Every row of a list with the list's pivot."""
-    pivot = posts.groupBy("shingle").agg(F.max(F.struct("mean", "id", "n")).alias("p"))
+    pivot = posts.groupBy("shingle").agg(F.max(F.struct((-F.col("at") / F.col("n")).alias("central"), "mean", "id", "n", "at")).alias("p"))
     pairs = posts.join(pivot, "shingle").where(F.col("p.id") != F.col("id"))
-    pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
-    return pairs.where(fits(percent)).select("a", "b").distinct()
+    pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("pa"), F.col("p.at").alias("pb"))
+    return pairs.where(fits(percent) & _reachable(percent)).select("a", "b").distinct()
 
 
 def _apart_pairs(posts: DataFrame, components: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
@@ -184,13 +196,14 @@ def _apart_pairs(posts: DataFrame, components: DataFrame, tried: DataFrame, perc
 
     One side holds the rows outside of the list's largest component.
     """
+    posts = posts.where(F.col("n") - F.col("at") >= F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)))
     labelled = posts.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = labelled.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"))
     top = sizes.groupBy("shingle").agg(F.max(F.struct("k", "c")).alias("t"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
     open_lists = labelled.join(top.select("shingle", F.col("t.c").alias("top")), "shingle")
-    minor = open_lists.where(F.col("c") != F.col("top")).select("shingle", F.col("id").alias("i"), F.col("n").alias("na"), F.col("c").alias("ci"))
-    other = open_lists.select("shingle", F.col("id").alias("j"), F.col("n").alias("nb"), F.col("c").alias("cj"))
-    pairs = minor.join(other, "shingle").where((F.col("ci") != F.col("cj")) & fits(percent))
+    minor = open_lists.where(F.col("c") != F.col("top")).select("shingle", F.col("id").alias("i"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ci"))
+    other = open_lists.select("shingle", F.col("id").alias("j"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cj"))
+    pairs = minor.join(other, "shingle").where((F.col("ci") != F.col("cj")) & fits(percent) & _reachable(percent))
     pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
@@ -234,7 +247,10 @@ def near_duplicates(
     classes = stored(usable.groupBy("h1", "h2", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id")), "classes")
     posts = classes.select("id", "n", F.posexplode("sig").alias("coordinate", "value"))
     lengths = posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    posts = stored(posts.join(lengths, ["coordinate", "value"]).select("coordinate", "value", "id", "n", (F.col("k") > short_list).alias("long")), "posts")
+    posts = posts.join(lengths, ["coordinate", "value"]).select("coordinate", "value", "id", "n", (F.col("k") > short_list).alias("long"))
+    # Fewer shared coordinates than the threshold: no partner can reach it.
+    able = posts.groupBy("id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= F.least(F.lit(matches), F.lit(coordinates))).select("id")
+    posts = stored(posts.join(able, "id", "left_semi"), "posts")
 
     candidates = stored(_short_pairs(posts.where(~F.col("long")), percent, matches), "candidates")
     skipped = posts.where("long").groupBy("id").agg(F.count(F.lit(1)).alias("lists"))
