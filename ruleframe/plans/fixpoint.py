@@ -24,10 +24,19 @@ from ruleframe.plans.terms import RuleError
 MOST_ROUNDS = 1000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where
+    that is unset (single-process tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ruleframe.rounds.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="ruleframe-rounds-")
+        spark.conf.set("ruleframe.rounds.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ruleframe-rounds-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
