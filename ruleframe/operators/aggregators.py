@@ -116,6 +116,9 @@ def _product_column(v: Column, t: DataType) -> Column:
 def _unique_column(v: Column, t: DataType) -> Column:
     """The one value; comparing two extremes finds conflicts without a second
     shuffle of distinct values."""
+    if "map<" in t.simpleString():
+        form = F.to_json(F.array_sort(F.map_entries(v))) if t.simpleString().startswith("map<") else F.to_json(v)
+        return F.when(F.min(form) == F.max(form), F.any_value(v)).otherwise(F.raise_error(F.lit("= has several values")).cast(t))
     return F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.raise_error(F.lit("= has several values")).cast(t))
 
 

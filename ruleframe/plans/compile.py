@@ -160,7 +160,10 @@ class Body:
                     self.match(b, self.column(a))
                 return True
             if self.known(b):
-                self.match(a, self.column(b))
+                if self.value(b) is not None and isinstance(a, V):
+                    self.constants[a.name] = self.value(b)
+                else:
+                    self.match(a, self.column(b))
                 return True
             return False
         if g.kind == "map":
@@ -606,7 +609,10 @@ class Compiler:
         extra = [F.count(F.lit(1)).alias("c")]
         if op == ":=":
             # The last rule that gives a value decides; two values of that one conflict.
-            best = group.agg(F.max(F.struct("n", "v")).alias("m"), *extra).select(*keys, F.col("m.v").alias("v"), "c")
+            if orderable(kind):
+                best = group.agg(F.max(F.struct("n", "v")).alias("m"), *extra).select(*keys, F.col("m.v").alias("v"), "c")
+            else:
+                best = group.agg(F.max_by("v", "n").alias("v"), *extra)
             if isinstance(kind, StructType) and "functor" in kind.names:
                 best = best.where(F.col("v.functor") != NULL.name)
         elif "k" in rows.columns and op in ("max=", "min="):
@@ -646,6 +652,10 @@ class Compiler:
         return self.session.frame_of_rows(found, functor.arity)
 
 
+def orderable(t: DataType) -> bool:
+    return "map<" not in t.simpleString()
+
+
 def united(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

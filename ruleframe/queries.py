@@ -141,7 +141,7 @@ add("win_prev", {"p": PART}, "q(S) += 1 for _ = p(_,_,S). d(S) = q(S) - q(S-1)."
 add("fn_add_inverse", {"p": PART}, "r(K,X,Y) :- _ = p(K,_,S), S = X + 3, 100 = S + Y.", ("r", 3), "k x y", "SELECT p_partkey k, CAST(p_size - 3 AS BIGINT) x, CAST(100 - p_size AS BIGINT) y FROM part")
 add("fn_sub_neg", {"p": PART}, "r(K,X,Y) :- _ = p(K,_,S), X = 10 - S, S = -Y.", ("r", 3), "k x y", "SELECT p_partkey k, CAST(10 - p_size AS BIGINT) x, CAST(-p_size AS BIGINT) y FROM part")
 add("fn_mul_inverse", {"p": PART}, "r(K,X) :- R = p(K,_,_), R = X * 4.0.", ("r", 2), "k x", "SELECT p_partkey k, round(p_retailprice / 4.0, 6) x FROM part", 6)
-add("fn_divide", {"li": PRICE}, "r(O,S) max= P / (D * 100.0) for P = li(O,S,D).", ("r", 2), "o s x", "SELECT l_orderkey o, l_suppkey s, round(max(l_extendedprice / nullif(l_discount * 100.0, 0)), 4) x FROM lineitem WHERE l_discount <> 0 GROUP BY 1, 2", 4)
+add("fn_divide", {"li": PRICE}, "r(O,S) max= P / (D * 100.0) for P = li(O,S,D).", ("r", 2), "o s x", "SELECT l_orderkey o, l_suppkey s, max(l_extendedprice / nullif(l_discount * 100.0, 0)) x FROM lineitem WHERE l_discount <> 0 GROUP BY 1, 2")
 add("fn_minmax", {"p": PART}, "r(K,A,B) :- _ = p(K,_,S), A = min(S, 25), B = max(S, 25).", ("r", 3), "k a b", "SELECT p_partkey k, CAST(least(p_size, 25) AS BIGINT) a, CAST(greatest(p_size, 25) AS BIGINT) b FROM part")
 add("fn_pow_sqrt", {"p": PART}, "r(K,A,B,C) :- _ = p(K,_,S), A = S ** 2, B = sqrt(S), 64.0 = pow(C, 3).", ("r", 4), "k a b c", "SELECT p_partkey k, CAST(p_size * p_size AS DOUBLE) a, round(sqrt(p_size), 6) b, CAST(4 AS DOUBLE) c FROM part", 6)
 add("fn_exp_log", {"p": PART}, "r(K,A,B) :- _ = p(K,_,S), A = log(S), exp(B) = S + 0.0.", ("r", 3), "k a b", "SELECT p_partkey k, round(ln(p_size), 6) a, round(ln(p_size), 6) b FROM part", 6)
@@ -165,8 +165,8 @@ add("struct_match", {"n": NAT}, "s(K) = &node(M, &leaf(R)) for n(K,M,R). r(K,M)
 
 # Recursion and memoisation --------------------------------------------------------------------
 add("rec_reach", {"n": NAT}, "e(X,Y) :- n(X,_,R), n(Y,_,R), Y = X + 5. reach(X,Y) :- e(X,Y). reach(X,Z) :- reach(X,Y), e(Y,Z).", ("reach", 2), "x y", "WITH RECURSIVE e AS (SELECT a.n_nationkey x, b.n_nationkey y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey = a.n_nationkey + 5), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT CAST(x AS BIGINT) x, CAST(y AS BIGINT) y FROM r")
-add("rec_shortest_path", {"n": NAT}, "e(X,Y) = R + 1 for n(X,_,R), Y = X + 1, Y < 25. e(X,Y) = R * 3 + 2 for n(X,_,R), Y = X + 3, Y < 25. dist(0) min= 0. dist(Y) min= dist(X) + e(X,Y).", ("dist", 1), "n d", "WITH RECURSIVE e AS (SELECT n_nationkey x, n_nationkey + 1 y, n_regionkey + 1 w FROM nation WHERE n_nationkey < 24 UNION ALL SELECT n_nationkey, n_nationkey + 3, n_regionkey * 3 + 2 FROM nation WHERE n_nationkey < 22), p AS (SELECT 0 n, 0 d UNION SELECT e.y, p.d + e.w FROM p JOIN e ON e.x = p.n) SELECT CAST(n AS BIGINT) n, CAST(min(d) AS BIGINT) d FROM p GROUP BY 1")
-add("rec_path_counts", {"n": NAT}, "paths(0) += 1. paths(Y) += paths(X) for n(X,_,_), Y = X + 1, Y < 15. paths(Y) += paths(X) for n(X,_,_), Y = X + 2, Y < 15.", ("paths", 1), "n c", "WITH RECURSIVE p AS (SELECT 0 n UNION ALL SELECT p.n + s FROM p, (VALUES (1), (2)) t(s) WHERE p.n + s < 15) SELECT CAST(n AS BIGINT) n, CAST(count(*) AS BIGINT) c FROM p GROUP BY 1")
+add("rec_shortest_path", {"n": NAT}, "e(X,Y) = R + 1 for n(X,_,R), Y = X + 1, Y < 10. e(X,Y) = R * 3 + 2 for n(X,_,R), Y = X + 3, Y < 10. dist(0) min= 0. dist(Y) min= dist(X) + e(X,Y).", ("dist", 1), "n d", "WITH RECURSIVE e AS (SELECT n_nationkey x, n_nationkey + 1 y, n_regionkey + 1 w FROM nation WHERE n_nationkey < 9 UNION ALL SELECT n_nationkey, n_nationkey + 3, n_regionkey * 3 + 2 FROM nation WHERE n_nationkey < 7), p AS (SELECT 0 n, 0 d UNION SELECT e.y, p.d + e.w FROM p JOIN e ON e.x = p.n) SELECT CAST(n AS BIGINT) n, CAST(min(d) AS BIGINT) d FROM p GROUP BY 1")
+add("rec_path_counts", {"n": NAT}, "paths(0) += 1. paths(Y) += paths(X) for n(X,_,_), Y = X + 1, Y < 7. paths(Y) += paths(X) for n(X,_,_), Y = X + 2, Y < 7.", ("paths", 1), "n c", "WITH RECURSIVE p AS (SELECT 0 n UNION ALL SELECT p.n + s FROM p, (VALUES (1), (2)) t(s) WHERE p.n + s < 7) SELECT CAST(n AS BIGINT) n, CAST(count(*) AS BIGINT) c FROM p GROUP BY 1")
 add("rec_fib", {}, 'fib(0) := 0. fib(1) := 1. fib(N) := fib(N-1) + fib(N-2) for N > 1. $memo(fib[N:$ground]) = "unk". r(N) = str(fib(N)) for range(0, 91, N).', ("r", 1), "n f", "WITH RECURSIVE f AS (SELECT 0 n, CAST(0 AS HUGEINT) a, CAST(1 AS HUGEINT) b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 90) SELECT CAST(n AS BIGINT) n, CAST(a AS VARCHAR) f FROM f")
 add("rec_fact", {"p": PART}, "fact(0) = 1. fact(N) = N * fact(N-1) for N > 0. size(S) :- _ = p(_,_,S), S <= 20. r(S) = fact(S) for size(S).", ("r", 1), "s f", "SELECT DISTINCT CAST(p_size AS BIGINT) s, CAST(factorial(p_size) AS BIGINT) f FROM part WHERE p_size <= 20")
 add("rec_edit_distance", {}, 'd([],[]) min= 0. d([X|A],B) min= 1 + d(A,B). d(A,[Y|B]) min= 1 + d(A,B). d([X|A],[Y|B]) min= d(A,B) for X == Y. d([X|A],[Y|B]) min= 1 + d(A,B) for X != Y. w(1,["k","i","t","t","e","n"]). w(2,["s","i","t","t","i","n","g"]). w(3,["s","u","n"]). r(I,J) = d(A,B) for w(I,A), w(J,B).', ("r", 2), "i j d", "SELECT CAST(a.i AS BIGINT) i, CAST(b.i AS BIGINT) j, levenshtein(a.s, b.s) d FROM (VALUES (1,'kitten'),(2,'sitting'),(3,'sun')) a(i,s), (VALUES (1,'kitten'),(2,'sitting'),(3,'sun')) b(i,s)")

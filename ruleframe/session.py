@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, Dou
 from ruleframe.functions.scalar import BUILTINS, FREE
 from ruleframe.operators.aggregators import AGGREGATORS
 from ruleframe.plans.compile import Compiler, called, widened
-from ruleframe.plans.local import Evaluator, Slot, fill, ground, resolve, with_deep_stack
+from ruleframe.plans.local import LISTING_ROUNDS, MOST_ROUNDS, Evaluator, Slot, fill, ground, resolve, with_deep_stack
 from ruleframe.plans.parser import parse, parse_expression
 from ruleframe.plans.rules import Goal, Normaliser, Part, Rule, V, rules_of, variables
 from ruleframe.plans.terms import AssertionFailed, FrozenMap, Handle, Keyed, Opaque, RuleError, SyntaxProblem, SystemTermError, Term, UnsafeRuleError, cons, is_list, show, to_host, to_value, uncons
@@ -378,9 +378,11 @@ class Session:
             out = Slot("v")
             return [(*map(resolve, given), resolve(out)) for _ in self.evaluator.functor(functor, given, out)]
 
+        self.evaluator.rounds = MOST_ROUNDS if args is not None else LISTING_ROUNDS
         try:
             return with_deep_stack(run)
         finally:
+            self.evaluator.rounds = MOST_ROUNDS
             self.evaluator.trail.undo(0)
             self.evaluator.running.clear()
 
