@@ -351,8 +351,9 @@ class Body:
                 side.match(pattern, F.col(at))
             else:
                 later.append((pattern, at))
-        for at in bound.values():
-            if side.frame.schema[at].nullable:
+        for name, at in bound.items():
+            # A column that the rule does not name is not read at all.
+            if not name.startswith("_#") and side.frame.schema[at].nullable:
                 side.where(F.col(at).isNotNull())
         right = side.frame
         if self.df is None:

@@ -438,14 +438,10 @@ class Session:
         elif name in ("import_csv", "csv_import"):
             from ruleframe.sources.csvio import import_csv
 
-            for (_, (target, path)) in [("", p.args) for p in parts if isinstance(p, Term)] or [("", (pairs[0], parts[-1]))]:
-                import_csv(self, target[0] if isinstance(target, tuple) else target.args[0], target[1] if isinstance(target, tuple) else target.args[1], path, file)
+            import_csv(self, *pairs[0], next(p for p in parts if isinstance(p, str) and p != ","), file)
         elif name in ("export_csv", "csv_export"):
             from ruleframe.sources.csvio import export_csv
 
-            for p in parts:
-                if isinstance(p, Term) and p.name != "/":
-                    continue
             export_csv(self, *pairs[0], next(p for p in parts if isinstance(p, str) and p != ","), file)
         elif name in ("run_agenda", "clear_agenda", "print_memo_table", "set_recursion_limit", "use_optimized_rexprs"):
             return
