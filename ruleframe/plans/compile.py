@@ -215,6 +215,9 @@ class Body:
                 self.match(args[0], F.col(at))
                 self.match_result(g.out, F.lit(True))
             return True
+        if name in ("$ground", "$free") and len(args) == 1 and self.known(args[0]):
+            self.match_result(g.out, F.lit(name == "$ground"))
+            return True
         if name == "$regex_match" and len(args) == 2 and self.known(args):
             at = f"x{next(_count)}"
             self.df = self.frame.withColumn(at, F.explode(F.regexp_extract_all(self.column(args[1]), self.column(args[0]), F.lit(0))))

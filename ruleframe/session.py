@@ -106,6 +106,9 @@ class Session:
         self._compiler: Compiler | None = None
         self._folder: dict[str, Path] = {}
         self.to_value, self.to_host = self._in, self._out
+        self.functions["$command_line_args", 0] = lambda out: [(cons(self.arguments),)]
+        self.functions["$read_csv", 1] = self._read_csv
+        self.functions["$random_seed", 0] = lambda out: [(0,)]
 
     # Names --------------------------------------------------------------------
 
@@ -152,6 +155,21 @@ class Session:
             return self._out(x.value)
         return to_host(x)
 
+    def _read_csv(self, path: Any, out: Any) -> list[tuple] | None:
+        """A CSV file as a list of lists of strings; for small files."""
+        if path is FREE:
+            return None
+        if self.spark is not None:
+            from ruleframe.sources.csvio import read_csv
+
+            rows = [list(r) for r in read_csv(self.spark, path).collect()]
+        else:
+            import csv
+
+            with open(path, newline="") as f:
+                rows = list(csv.reader(f))
+        return [(path, self._in(rows))]
+
     # Registration ---------------------------------------------------------------
 
     def register(self, name: str, df: DataFrame, key: list[str] | None = None, value: str | None = None, file: str = "main") -> Functor:
