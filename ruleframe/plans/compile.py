@@ -143,6 +143,8 @@ class Body:
             at = next((i for i, g in enumerate(todo) if self.scalar(g, todo)), None)
             if at is None:
                 at = self.relational(todo, override or {})
+            if at is None and self.bounded(todo):
+                continue
             if at is None:
                 free = sorted({n for g in todo for n in variables(g) if "#" not in n and n not in self.columns and n not in self.constants})
                 raise UnsafeRuleError(f"not enough is known of {', '.join(free) or 'an expression'} to evaluate {todo[0].name or todo[0].kind}")
@@ -253,6 +255,29 @@ class Body:
                 return True
         return False
 
+    def bounded(self, todo: list[Goal]) -> bool:
+        """``int(X)`` between known bounds lists whole numbers; the bounds stay as filters."""
+        flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+        for g in todo:
+            if g.kind != "call" or g.name != "int" or g.out is not True or not isinstance(g.args[0], V) or self.known(g.args[0]):
+                continue
+            lows, highs = [], []
+            for b in todo:
+                if b.kind == "call" and b.name in flip and b.out is True:
+                    left, right, op = *b.args, b.name
+                    if right == g.args[0]:
+                        left, right, op = right, left, flip[op]
+                    if left == g.args[0] and self.known(right):
+                        (lows if op in (">", ">=") else highs).append(self.column(right))
+            if lows and highs:
+                lo = F.ceil(F.greatest(*lows) if len(lows) > 1 else lows[0]).cast("bigint")
+                hi = F.floor(F.least(*highs) if len(highs) > 1 else highs[0]).cast("bigint")
+                at = f"x{next(_count)}"
+                self.df = self.frame.withColumn(at, F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+                self.columns[g.args[0].name] = at
+                return True
+        return False
+
     def match_result(self, out: Any, c: Column) -> None:
         if out is True and isinstance(self.type_of(c), BooleanType):
             self.where(c)

@@ -91,6 +91,7 @@ add("join_equi", {"c": CUST, "n": NAT}, "r(M) += B for B = c(_,K,_), n(K,M,_).",
 add("join_multiway", {"li": PRICE, "o": ORD, "c": CUST, "n": NAT}, "revenue(M) += P*(1-D) for P = li(O,_,D), _ = o(O,C,_), _ = c(C,K,_), n(K,M,_).", ("revenue", 1), "n revenue", "SELECT n_name n, round(sum(l_extendedprice*(1-l_discount)), 2) revenue FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1", 2)
 add("join_theta", {"n": NAT, "s": SUPP}, "m(M) += 1 for n(K,M,_), _ = s(_,J), J < K.", ("m", 1), "n c", "SELECT n_name n, CAST(count(*) AS BIGINT) c FROM nation JOIN supplier ON s_nationkey < n_nationkey GROUP BY 1")
 add("join_range", {"p": PART}, "n(X) += 1 for range(10, 20, X), _ = p(_,_,S), S >= X, S < X + 3.", ("n", 1), "x n", "SELECT CAST(x AS BIGINT) x, CAST(count(*) AS BIGINT) n FROM generate_series(10, 19) t(x) JOIN part ON p_size >= x AND p_size < x + 3 GROUP BY 1")
+add("join_bounds", {"n": NAT}, "r(K,X) :- n(K,_,R), int(X), X >= R, R + 3 > X.", ("r", 2), "k x", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(n_regionkey + i AS BIGINT) x FROM nation, generate_series(0, 2) t(i)")
 add("join_self_product", {"li": LI}, "elem(S, L) += Q for Q = li(_,_,S,L,_), S < 10. prod(A, B) += elem(A, L) * elem(B, L).", ("prod", 2), "a b v", "WITH e AS (SELECT l_suppkey s, l_linenumber l, sum(l_quantity) q FROM lineitem WHERE l_suppkey < 10 GROUP BY 1, 2) SELECT x.s a, y.s b, round(sum(x.q*y.q), 2) v FROM e x JOIN e y ON x.l = y.l GROUP BY 1, 2", 2)
 add("join_semi", {"c": CUST, "o": ORD}, "r(K) :- _ = c(K,_,_), P = o(_,K,_), P > 400000.", ("r", 1), "k", "SELECT c_custkey k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 add("join_anti", {"c": CUST, "o": ORD}, "big(C) :- P = o(_,C,_), P > 400000. idle(C) :- _ = c(C,_,_), !is_defined(big(C)).", ("idle", 1), "k", "SELECT c_custkey k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
@@ -120,6 +121,7 @@ add("agg_count_distinct", {"li": LI}, "d(F,P) :- _ = li(_,P,_,_,F). r(F) += 1 fo
 add("agg_argmax", {"o": ORD}, "top(S) max= P for P = o(K,_,S) arg K. r(S) = $arg(top(S)).", ("r", 1), "s k", "SELECT o_orderstatus s, arg_max(o_orderkey, o_totalprice) k FROM orders GROUP BY 1")
 add("agg_argmin_value", {"o": ORD}, "low(S) min= P for P = o(K,_,S) with_key K. r(S) = $value(low(S)).", ("r", 1), "s p", "SELECT o_orderstatus s, min(o_totalprice) p FROM orders GROUP BY 1")
 add("agg_multi_rule", {"c": CUST, "s": SUPP}, "t(N) += B for B = c(_,N,_). t(N) += B for B = s(_,N).", ("t", 1), "n b", "SELECT CAST(n AS BIGINT) n, round(sum(b), 2) b FROM (SELECT c_nationkey n, c_acctbal b FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1", 2)
+add("agg_semicolon", {"c": CUST}, "t(N) += B for B = c(_,N,_) ; 100.0 for _ = c(_,N,_).", ("t", 1), "n b", "SELECT CAST(c_nationkey AS BIGINT) n, round(sum(c_acctbal) + 100 * count(*), 2) b FROM customer GROUP BY 1", 2)
 add("agg_empty_group", {"li": LI}, "n += 1 for Q = li(_,_,_,_,_), Q > 100000.0.", ("n", 0), "n", "SELECT CAST(1 AS BIGINT) n WHERE false")
 add("agg_inline", {"c": CUST, "o": ORD}, "r(K) = (+= P for P = o(_,K,_)) for _ = c(K,_,_).", ("r", 1), "k p", "SELECT o_custkey k, round(sum(o_totalprice), 2) p FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1", 2)
 add("agg_mixed", {"n": NAT}, "r(K) += 1 for n(K,_,0). r(K) max= 7 for n(K,_,1).", ("r", 1), "k v", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(CASE n_regionkey WHEN 0 THEN 1 ELSE 7 END AS BIGINT) v FROM nation WHERE n_regionkey < 2")
