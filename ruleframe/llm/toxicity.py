@@ -211,61 +211,51 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 NAMES = ["mean", *(f"peak{w}" for w in WINDOWS)]
 
 
-def _scored(shared, weights: list[float] | None, prior: float):
+def _featured(shared):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, float] = {}
         for batch in source:
-            rows = []
             texts = [[w[:WORD_BYTES] for w in words_of(t.as_py())] for t in batch.column(0)]
-            if shared is not None:
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                new = list({w for t in texts for w in t} - cache.keys())
-                for s in range(0, len(new), 20_000):
-                    cache.update(zip(new[s : s + 20_000], word_ratios(shared.value, new[s : s + 20_000]).tolist(), strict=True))
-            for words in texts:
-                f = features(np.array([cache[w] for w in words])) if shared is not None else [0.0] * len(NAMES)
-                z = weights[0] + float(np.dot(weights[1:], f)) if weights else None
-                rows.append([*f, prior if z is None else 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))])
-            found = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES) + 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=[*batch.schema.names[1:], *NAMES, "score"])
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
+            new = list({w for t in texts for w in t} - cache.keys())
+            for s in range(0, len(new), 20_000):
+                cache.update(zip(new[s : s + 20_000], word_ratios(shared.value, new[s : s + 20_000]).tolist(), strict=True))
+            rows = [features(np.array([cache[w] for w in words])) for words in texts]
+            found = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *found], names=["id", *NAMES])
 
     return run
 
 
-_OUT = "".join(f", {n} double" for n in [*NAMES, "score"])
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``<row_id>, held_out, mean, peak8, peak40, score, predicted`` for every row of ``docs``."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(F.max(label).alias("label"))
     source = docs.select(F.col(text).alias("text"), F.col(row_id).alias("id"))
-    train = known.where(~fold(F.col("id")).isin(0, CALIBRATION_FOLD))
-    model = fit_model(source.join(train, "id"), "text", "label")
-    kind = docs.schema[row_id].dataType.simpleString()
-    shared, weights, prior = None, None, 0.0
+    training = ~fold(F.col("id")).isin(0, CALIBRATION_FOLD)
+    # Both sides are cut to the training folds before any text is shuffled.
+    model = fit_model(source.where(training).join(known.where(training), "id"), "text", "label")
     if model is None:
-        share = source.join(known.where(fold(F.col("id")) != 0), "id").agg(F.avg(F.col("label").cast("double")).alias("p")).first().p
-        prior = float(share or 0.0)
+        share = docs.select(F.col(row_id).alias("id")).join(known.where(fold(F.col("id")) != 0), "id").agg(F.avg(F.col("label").cast("double")).alias("p")).first().p
+        found = source.select("id", *(F.lit(0.0).alias(n) for n in NAMES))
+        score = F.lit(float(share or 0.0))
     else:
         shared = spark.sparkContext.broadcast(model)
-        held = source.join(known.where(fold(F.col("id")) == CALIBRATION_FOLD), "id").select("text", "label", F.xxhash64("id").alias("h"))
-        fitted = held.mapInArrow(_scored(shared, None, 0.0), f"label {_type(known, 'label')}, h bigint" + _OUT)
-        rows = fitted.orderBy("h").limit(calibration_rows).select("label", *NAMES).toArrow()
+        kind = docs.schema[row_id].dataType.simpleString()
+        found = stored(source.mapInArrow(_featured(shared), f"id {kind}" + "".join(f", {n} double" for n in NAMES)), "toxicity-features")
+        held = found.join(known.where(fold(F.col("id")) == CALIBRATION_FOLD), "id").withColumn("h", F.xxhash64("id"))
+        rows = held.orderBy("h").limit(calibration_rows).select("label", *NAMES).toArrow()
         y = rows.column("label").to_numpy().astype(float)
         x = np.column_stack([rows.column(n).to_numpy() for n in NAMES])
         weights = [float(v) for v in logistic(x, y)] if 0 < y.sum() < len(y) else [0.0, *(4.0 for _ in NAMES)]
-    scored = source.mapInArrow(_scored(shared, weights, prior), f"id {kind}" + _OUT)
-    return scored.select(
-        F.col("id").alias(row_id), (fold(F.col("id")) == 0).alias("held_out"), *NAMES, "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        z = sum((F.lit(w) * F.col(n) for w, n in zip(weights[1:], NAMES, strict=True)), F.lit(weights[0]))
+        score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return found.select(F.col("id").alias(row_id), (fold(F.col("id")) == 0).alias("held_out"), *NAMES, score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
 
-def _type(frame: DataFrame, name: str) -> str:
-    return frame.schema[name].dataType.simpleString()
-
-
 def keep_ordinary(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows that the model rejects; columns stay as they are.
 
