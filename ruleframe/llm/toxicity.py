@@ -48,6 +48,7 @@ MODEL_GRAMS = 1 << 20
 WINDOWS = (8, 40)
 DISCOUNT = 0.75
 CACHED_WORDS = 500_000
+ID_BITS = 24
 WORD_BYTES = 64
 
 _FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -228,14 +229,41 @@ def _featured(shared):
     return run
 
 
+def likely(source: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """Rows of ``source`` whose ``name`` may be in ``ids``; none that is goes missing.
+
+    A bit array over hashes of the ids, of at most ``2 ** ID_BITS`` bits, goes
+    to the tasks, so rows without a partner need not be shuffled for a join.
+    """
+    spark = source.sparkSession
+    bits = max(10, min(ID_BITS, int(ids.count() * 16).bit_length()))
+    place = F.xxhash64(name).bitwiseAND(F.lit((1 << bits) - 1))
+    cells = ids.select(F.shiftright(place, 3).alias("byte"), F.pow(F.lit(2.0), place.bitwiseAND(F.lit(7))).cast("int").alias("bit"))
+    got = cells.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()
+    array = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    array[got.column("byte").to_numpy()] = got.column("bit").to_numpy().astype(np.uint8)
+    shared = spark.sparkContext.broadcast(array)
+    names = source.columns
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at = batch.column(len(names)).to_numpy()
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep.astype(bool)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.withColumn("__place", place).mapInArrow(run, schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``<row_id>, held_out, mean, peak8, peak40, score, predicted`` for every row of ``docs``."""
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(F.max(label).alias("label"))
     source = docs.select(F.col(text).alias("text"), F.col(row_id).alias("id"))
     training = ~fold(F.col("id")).isin(0, CALIBRATION_FOLD)
-    # Both sides are cut to the training folds before any text is shuffled.
-    model = fit_model(source.where(training).join(known.where(training), "id"), "text", "label")
+    # Only texts that may have a training label are shuffled.
+    train = known.where(training)
+    model = fit_model(likely(source.where(training), train).join(train, "id"), "text", "label")
     if model is None:
         share = docs.select(F.col(row_id).alias("id")).join(known.where(fold(F.col("id")) != 0), "id").agg(F.avg(F.col("label").cast("double")).alias("p")).first().p
         found = source.select("id", *(F.lit(0.0).alias(n) for n in NAMES))

@@ -45,6 +45,14 @@ def test_grams_stay_within_words():
     assert hashes[2][2] == hashes[2][5] and hashes[0][1] != hashes[0][2]
 
 
+def test_filter_keeps_every_partner(spark):
+    source = spark.range(5000).withColumnRenamed("id", "id")
+    ids = spark.range(0, 5000, 50)
+    got = {r.id for r in tx.likely(source, ids).collect()}
+    assert got >= set(range(0, 5000, 50)) and len(got) < 1000
+    assert tx.likely(source, ids.where("false")).count() == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1), (6, 0), (8, 1)], "doc_id long, toxic int")
     got = tx.toxicity_scores(odd_docs, labels)
