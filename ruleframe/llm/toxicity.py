@@ -19,9 +19,12 @@ Plan
    ``CALIBRATION_ROWS``, those with the least hash of the id) maps them to a
    probability.
 
-The model keeps the ``MODEL_GRAMS`` most frequent n-grams, the rest is left to
-the backoff: the broadcast has a fixed bound (about 40 MB) at every size of the
-corpus, while the counts come from all labelled rows.
+All n-grams stay in stored tables.  The endings of the corpus (the last bytes,
+``ORDER`` at most, at each place of a word) are gathered over all rows, and
+joins with those tables, order by order, give each ending the log ratio of its
+last byte.  Tasks that score get the ``SHARED_ENDINGS`` most frequent endings
+(16 MB); rows with others look those up by a further join.  So the bound of the
+broadcast changes no score.
 
 Defined results: a null text counts as empty; an empty text has the features
 of no evidence.  A null id counts as the empty text for the split.  Of several
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +48,11 @@ FOLDS = 5
 CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 50_000
 ORDER = 6
-MODEL_GRAMS = 1 << 20
+SHARED_ENDINGS = 1 << 20
 WINDOWS = (8, 40)
 DISCOUNT = 0.75
 CACHED_WORDS = 500_000
+ROUND_WORDS = 100_000
 ID_BITS = 24
 WORD_BYTES = 64
 
@@ -74,7 +79,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     hashes = [mix64(raw.astype(np.uint64) + np.uint64(257))]
     for k in range(2, ORDER + 1):
         back = np.zeros(len(raw), dtype=np.uint64)
-        back[k - 1 :] = raw[: len(raw) - k + 1]
+        back[k - 1 :] = raw[: max(0, len(raw) - k + 1)]
         hashes.append(mix64(hashes[-1] + (back + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)))
     return number, place, hashes
 
@@ -124,8 +129,13 @@ def _count_grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit_model(labelled: DataFrame, text: str = "text", label: str = "toxic") -> dict[str, np.ndarray] | None:
-    """Arrays of both classes' models over all rows of ``labelled``."""
+def fit_model(labelled: DataFrame, text: str = "text", label: str = "toxic") -> tuple[DataFrame, DataFrame] | None:
+    """Both classes' models over all rows of ``labelled``.
+
+    One row per n-gram (the share of its context that it keeps) and one per
+    context (the share that is left to the backoff); order 1 has the shared
+    distribution and no contexts.
+    """
     words = labelled.select(text, label).mapInArrow(_count_words, "word binary, tox bigint, ord bigint")
     words = stored(words.groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")), "word-counts")
     n = words.agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).first()
@@ -137,50 +147,101 @@ def fit_model(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
     # Continuation counts: how many longer grams, well enough seen, end in this one.
     left = table.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*(F.sum((F.col(c) > 0.5).cast("double")).alias(f"n_{c}") for c in scale))
     counted = table.join(left, ["k", "gram"], "left").select(
-        "k", "gram", "context", (F.col("tox") + F.col("ord")).alias("all"),
+        "k", "gram", "context",
         *(F.when((F.col("k") == ORDER) | F.col("start"), F.col(c)).otherwise(F.coalesce(f"n_{c}", F.lit(0.0))).alias(c) for c in scale),
     )
-    got = counted.orderBy(F.desc("all"), "k", "gram").limit(MODEL_GRAMS).toArrow()
-    k, gram, context, tox, ordinary = (got.column(c).to_numpy() for c in ("k", "gram", "context", "tox", "ord"))
-    low = k == 1
-    shared = (tox + ordinary)[low] + 0.5
-    model: dict[str, np.ndarray] = {"shared_key": gram[low], "shared": (shared / (shared.sum() + 128)).astype(np.float32)}
-    high = k > 1
-    gram, context, counts = gram[high], context[high], np.stack([tox[high], ordinary[high]])
-    places, inverse = np.unique(context, return_inverse=True)
-    kept = np.maximum(counts - DISCOUNT, 0)
-    total = np.stack([np.bincount(inverse, weights=c, minlength=len(places)) for c in counts])
-    held = np.stack([np.bincount(inverse, weights=c, minlength=len(places)) for c in kept])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        model["part"] = np.where(total[:, inverse] > 0, kept / total[:, inverse], 0).astype(np.float32)
-        model["backoff"] = np.where(total > 0, 1 - held / total, 1).astype(np.float32)
-    order = np.argsort(gram)
-    model |= {"gram": gram[order], "part": model["part"][:, order], "context": places}
-    order = np.argsort(model["shared_key"])
-    return model | {"shared_key": model["shared_key"][order], "shared": model["shared"][order]}
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-
-
-def word_ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) of each word."""
-    number, place, hashes = grams(words)
+    counted = stored(counted, "continuation-counts")
+    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in scale}
+    totals = counted.where("k > 1").groupBy("k", "context").agg(*(F.sum(c).alias(f"all_{c}") for c in scale), *(F.sum(kept[c]).alias(f"held_{c}") for c in scale))
+    totals = stored(totals, "context-totals")
+    share = {c: F.when(F.col(f"all_{c}") > 0, kept[c] / F.col(f"all_{c}")).otherwise(0.0) for c in scale}
+    parts = counted.where("k > 1").join(totals, ["k", "context"]).select("k", "gram", *(share[c].alias(f"part_{c}") for c in scale))
+    low = counted.where("k = 1").withColumn("n", F.col("tox") + F.col("ord") + 0.5)
+    shared = low.crossJoin(F.broadcast(low.agg(F.sum("n").alias("total")))).withColumn("p", F.col("n") / (F.col("total") + 128))
+    parts = parts.unionByName(shared.select("k", "gram", *(F.col("p").alias(f"part_{c}") for c in scale)))
+    left_over = {c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"held_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in scale}
+    return stored(parts, "gram-parts"), totals.select("k", "context", *(left_over[c].alias(f"back_{c}") for c in scale))
+
+
+def endings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and ending, as one whole number, of each byte of the words."""
+    raw = np.frombuffer(b"".join(b"\x01" + w for w in words), dtype=np.uint8)
+    start = raw == 1
+    number = np.cumsum(start) - 1
+    place = np.arange(len(raw)) - np.flatnonzero(start)[number]
+    packed = raw.astype(np.int64)
+    for i in range(1, ORDER):
+        packed[i:] += np.where(place[i:] >= i, raw[: max(0, len(raw) - i)].astype(np.int64) << (8 * i), 0)
     at = np.flatnonzero(place >= 1)
-    keys = [signed(h) for h in hashes]
-    i, there = _find(model["shared_key"], keys[0][at])
-    base = np.where(there, model["shared"][i], np.float32(1e-4))
-    p = np.stack([base, base])
+    return number[at], packed[at]
+
+
+def _list_endings(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Endings of the words of each batch, with the number of words that have them."""
+    seen: set[bytes] = set()
+    for batch in source:
+        if len(seen) > CACHED_WORDS:
+            seen.clear()
+        new: set[bytes] = set()
+        for text in batch.column(0):
+            new.update(w[:WORD_BYTES] for w in words_of(text.as_py()))
+        words = list(new - seen)
+        seen.update(words)
+        for s in range(0, len(words), ROUND_WORDS):
+            found, times = np.unique(endings(words[s : s + ROUND_WORDS])[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["ending", "n"])
+
+
+WANTED = "k int, gram bigint, context bigint, suffix bigint, ending bigint"
+
+
+def _wanted_grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams that end an ending; ``ending`` is null but for the whole of it."""
+    for batch in source:
+        packed = batch.column(0).to_numpy()
+        byte = [(packed >> (8 * i)) & 255 for i in range(ORDER)]
+        size = np.sum([packed >> (8 * i) > 0 for i in range(ORDER)], axis=0)
+        own, before = _chain(byte), [np.zeros(len(packed), dtype=np.uint64), *_chain(byte[1:])]
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(size >= k)
+            _, index = np.unique(own[k - 1][at], return_index=True)
+            at = at[index]
+            suffix = own[k - 2][at] if k > 1 else np.zeros(len(at), dtype=np.uint64)
+            columns = [pa.array(np.full(len(at), k, dtype=np.int32)), *(pa.array(signed(h)) for h in (own[k - 1][at], before[k - 1][at], suffix))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed[at], mask=size[at] != k)], names=["k", "gram", "context", "suffix", "ending"])
+
+
+def _chain(byte: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes as of ``grams``, given the last byte, the one before it and so on."""
+    hashes = [mix64(byte[0].astype(np.uint64) + np.uint64(257))]
+    for b in byte[1:]:
+        hashes.append(mix64(hashes[-1] + (b.astype(np.uint64) + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)))
+    return hashes
+
+
+def ending_ratios(model: tuple[DataFrame, DataFrame], listed: DataFrame) -> DataFrame:
+    """``ending, ratio``: log P(last byte | toxic) - log P(last byte | ordinary)."""
+    parts, backs = model
+    wanted = listed.select("ending").mapInArrow(_wanted_grams, WANTED).groupBy("k", "gram").agg(*(F.max(c).alias(c) for c in ("context", "suffix", "ending")))
+    both = ("tox", "ord")
+    known = stored(wanted.join(parts, ["k", "gram"], "left").join(backs, ["k", "context"], "left"), "wanted-grams")
+    below = known.where("k = 1").select("k", "gram", "ending", *(F.coalesce(f"part_{c}", F.lit(1e-4)).alias(c) for c in both))
+    found = []
     for k in range(2, ORDER + 1):
-        valid = np.flatnonzero(place[at] >= k - 1)
-        c, known = _find(model["context"], keys[k - 2][at[valid] - 1])
-        valid, c = valid[known], c[known]
-        g, seen = _find(model["gram"], keys[k - 1][at[valid]])
-        p[:, valid] = np.where(seen, model["part"][:, g], 0) + model["backoff"][:, c] * p[:, valid]
-    p = np.maximum(p, 1e-12)
-    return np.bincount(number[at], weights=np.log(p[0]) - np.log(p[1]), minlength=len(words))
+        shorter = below.select(F.col("gram").alias("suffix"), *both)
+        p = {c: F.coalesce(f"part_{c}", F.lit(0.0)) + F.coalesce(f"back_{c}", F.lit(1.0)) * F.col(c) for c in both}
+        below = stored(known.where(F.col("k") == k).join(shorter, "suffix").select("k", "gram", "ending", *(p[c].alias(c) for c in both)), "gram-chances")
+        found.append(below.where("ending IS NOT NULL"))
+    log = {c: F.log(F.greatest(F.col(c), F.lit(1e-12))) for c in both}
+    return reduce(DataFrame.unionByName, found).select("ending", (log["tox"] - log["ord"]).alias("ratio"))
+
+
+def word_ratios(keys: np.ndarray, ratios: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """log P(word | toxic) - log P(word | ordinary); NaN where ``keys`` lack an ending."""
+    number, packed = endings(words)
+    at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))
+    each = np.where(keys[at] == packed, ratios[at], np.nan) if len(keys) else np.full(len(packed), np.nan)
+    return np.bincount(number, weights=each, minlength=len(words))
 
 
 def features(ratios: np.ndarray) -> list[float]:
@@ -213,22 +274,80 @@ NAMES = ["mean", *(f"peak{w}" for w in WINDOWS)]
 
 
 def _featured(shared):
+    """Features of each text, or the endings that they still need."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ratios = shared.value
         cache: dict[bytes, float] = {}
         for batch in source:
             texts = [[w[:WORD_BYTES] for w in words_of(t.as_py())] for t in batch.column(0)]
             if len(cache) > CACHED_WORDS:
                 cache.clear()
             new = list({w for t in texts for w in t} - cache.keys())
-            for s in range(0, len(new), 20_000):
-                cache.update(zip(new[s : s + 20_000], word_ratios(shared.value, new[s : s + 20_000]).tolist(), strict=True))
+            for s in range(0, len(new), ROUND_WORDS):
+                cache.update(zip(new[s : s + ROUND_WORDS], word_ratios(keys, ratios, new[s : s + ROUND_WORDS]).tolist(), strict=True))
             rows = [features(np.array([cache[w] for w in words])) for words in texts]
+            lacking = [_absent(keys, list({w for w in words if np.isnan(cache[w])})) if np.isnan(r[0]) else None for r, words in zip(rows, texts, strict=True)]
+            found = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *found, pa.array(lacking, pa.list_(pa.int64()))], names=["id", "text_key", *NAMES, "lacking"])
+
+    return run
+
+
+def _absent(keys: np.ndarray, words: list[bytes]) -> np.ndarray:
+    return np.setdiff1d(endings(words)[1], keys)
+
+
+def _featured_alone(shared):
+    """Features of texts that bring the endings which the shared ones lack."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ratios = shared.value
+        for batch in source:
+            rows = []
+            for text, own in zip(batch.column(0), batch.column(2), strict=True):
+                words = [w[:WORD_BYTES] for w in words_of(text.as_py())]
+                once = list(set(words))
+                number, packed = endings(once)
+                at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))
+                each = np.where(keys[at] == packed, ratios[at], np.nan) if len(keys) else np.full(len(packed), np.nan)
+                own_keys, own_ratios = (own.values.field(c).to_numpy(zero_copy_only=False) for c in ("ending", "ratio"))
+                order = np.argsort(own_keys)
+                lack = np.flatnonzero(np.isnan(each))
+                each[lack] = own_ratios[order][np.searchsorted(own_keys[order], packed[lack])]
+                value = dict(zip(once, np.bincount(number, weights=each, minlength=len(once)).tolist(), strict=True))
+                rows.append(features(np.array([value[w] for w in words])))
             found = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
             yield pa.RecordBatch.from_arrays([batch.column(1), *found], names=["id", *NAMES])
 
     return run
 
 
+def text_features(source: DataFrame, model: tuple[DataFrame, DataFrame], shared_endings: int | None = None) -> DataFrame:
+    """``id`` and features of every row of ``source`` (columns ``text, id``)."""
+    spark = source.sparkSession
+    listed = stored(source.select("text").mapInArrow(_list_endings, "ending bigint, n bigint").groupBy("ending").agg(F.sum("n").alias("n")), "endings")
+    ratios = ending_ratios(model, listed)
+    bound = SHARED_ENDINGS if shared_endings is None else shared_endings
+    whole = listed.count() <= bound
+    if not whole:
+        ratios = stored(ratios.join(listed, "ending"), "ending-ratios")
+        most = ratios.orderBy(F.desc("n"), "ending").limit(bound)
+    got = (ratios if whole else most).select("ending", "ratio").toArrow()
+    order = np.argsort(got.column("ending").to_numpy())
+    shared = spark.sparkContext.broadcast((got.column("ending").to_numpy()[order], got.column("ratio").to_numpy()[order]))
+    kind = source.schema["id"].dataType.simpleString()
+    columns = f"id {kind}" + "".join(f", {n} double" for n in NAMES)
+    keyed = source.select("text", "id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
+    found = stored(keyed.mapInArrow(_featured(shared), columns.replace(",", ", text_key string,", 1) + ", lacking array<bigint>"), "toxicity-features")
+    if whole:
+        return found.select("id", *NAMES)
+    asked = found.where("lacking IS NOT NULL").select("text_key", F.explode("lacking").alias("ending")).distinct()
+    own = stored(asked.join(ratios.select("ending", "ratio"), "ending").groupBy("text_key").agg(F.collect_list(F.struct("ending", "ratio")).alias("own")), "own-endings")
+    rest = likely(keyed, own.select("text_key"), "text_key").join(own, "text_key").select("text", "id", "own").mapInArrow(_featured_alone(shared), columns)
+    return stored(found.where("lacking IS NULL").select("id", *NAMES).unionByName(rest), "all-features")
+
+
 def likely(source: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
     """Rows of ``source`` whose ``name`` may be in ``ids``; none that is goes missing.
 
@@ -257,7 +376,6 @@ def likely(source: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``<row_id>, held_out, mean, peak8, peak40, score, predicted`` for every row of ``docs``."""
-    spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(F.max(label).alias("label"))
     source = docs.select(F.col(text).alias("text"), F.col(row_id).alias("id"))
     training = ~fold(F.col("id")).isin(0, CALIBRATION_FOLD)
@@ -269,9 +387,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_
         found = source.select("id", *(F.lit(0.0).alias(n) for n in NAMES))
         score = F.lit(float(share or 0.0))
     else:
-        shared = spark.sparkContext.broadcast(model)
-        kind = docs.schema[row_id].dataType.simpleString()
-        found = stored(source.mapInArrow(_featured(shared), f"id {kind}" + "".join(f", {n} double" for n in NAMES)), "toxicity-features")
+        found = text_features(source, model)
         held = found.join(known.where(fold(F.col("id")) == CALIBRATION_FOLD), "id").withColumn("h", F.xxhash64("id"))
         rows = held.orderBy("h").limit(calibration_rows).select("label", *NAMES).toArrow()
         y = rows.column("label").to_numpy().astype(float)

@@ -61,3 +61,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in nothing} == {0.0} and {r.predicted for r in nothing} == {0}
     assert tx.toxicity_scores(no_docs, labels).count() == 0
     assert tx.keep_ordinary(odd_docs, labels).where("doc_id is null").count() == 2
+
+
+def direct_ratio(parts, backs, word):
+    """Interpolated log ratio of one word, byte by byte, from the collected tables."""
+    _, place, hashes = tx.grams([word])
+    total = 0.0
+    for at in range(1, len(place)):
+        p = list(parts.get((1, int(tx.signed(hashes[0][at : at + 1])[0])), (1e-4, 1e-4)))
+        for k in range(2, min(tx.ORDER, at + 1) + 1):
+            gram, context = (int(tx.signed(h)[0]) for h in (hashes[k - 1][at : at + 1], hashes[k - 2][at - 1 : at]))
+            part, back = parts.get((k, gram), (0, 0)), backs.get((k, context), (1, 1))
+            p = [part[c] + back[c] * p[c] for c in (0, 1)]
+        total += np.log(max(p[0], 1e-12)) - np.log(max(p[1], 1e-12))
+    return total
+
+
+def test_every_gram_counts_however_few_are_shared(spark):
+    rows = made(120, seed=4)
+    labelled = spark.createDataFrame(rows, "id long, text string, toxic int")
+    model = tx.fit_model(labelled)
+    parts = {(r.k, r.gram): (r.part_tox, r.part_ord) for r in model[0].collect()}
+    backs = {(r.k, r.context): (r.back_tox, r.back_ord) for r in model[1].collect()}
+    distinct = {(k, int(h)) for w in {w for r in rows for w in tx.words_of(r[1])} for _, place, hs in [tx.grams([w])] for k in range(1, tx.ORDER + 1) for h in tx.signed(hs[k - 1])[(place >= 1) & (place >= k - 1)]}
+    assert parts.keys() == distinct
+    texts = [*((r[0], r[1]) for r in rows), (120, "never seen zzyx"), (121, None), (122, ""), (120, "never seen zzyx")]
+    source = spark.createDataFrame([(t, i) for i, t in texts], "text string, id long")
+    want = sorted((i, *tx.features(np.array([direct_ratio(parts, backs, w) for w in tx.words_of(t)]))) for i, t in texts)
+    for bound in (tx.SHARED_ENDINGS, 40, 0):
+        got = sorted(tuple(r) for r in tx.text_features(source, model, bound).collect())
+        assert np.allclose(got, want, atol=1e-9), bound
