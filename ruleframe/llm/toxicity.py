@@ -26,7 +26,9 @@ last byte.  Tasks that score get the ``SHARED_ENDINGS`` most frequent endings
 (16 MB); rows with others look those up by a further join.  So the bound of the
 broadcast changes no score.
 
-Defined results: a null text counts as empty; an empty text has the features
+Defined results: a word of more than ``WORD_BYTES`` bytes (a glued token, a
+sentence of an unspaced script) is learnt and scored as successive pieces, each
+of which counts as a word; none of its bytes is left out.  A null text counts as empty; an empty text has the features
 of no evidence.  A null id counts as the empty text for the split.  Of several
 labels of one id the largest counts.  Without training rows of both classes
 every score is the share of toxic rows (0 without rows).
@@ -52,9 +54,12 @@ SHARED_ENDINGS = 1 << 20
 WINDOWS = (8, 40)
 DISCOUNT = 0.75
 CACHED_WORDS = 500_000
-ROUND_WORDS = 100_000
+LISTED_WORDS = 100_000
+ROUND_WORDS = 20_000
+ROUND_ROWS = 500
 ID_BITS = 24
 WORD_BYTES = 64
+LATER = b"\x02"
 
 _FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -64,6 +69,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD_CASE).split()
 
 
+def pieces_of(text: str | None) -> list[bytes]:
+    """Words, long ones as pieces of ``WORD_BYTES`` bytes.
+
+    A later piece begins with ``LATER`` and the ``ORDER`` - 1 bytes before it,
+    which are context only, so each byte of a word counts once.
+    """
+    words = words_of(text)
+    if not any(len(w) > WORD_BYTES for w in words):
+        return words
+    out = []
+    for w in words:
+        out.append(w[:WORD_BYTES])
+        out += [LATER + w[s - ORDER + 1 : s + WORD_BYTES] for s in range(WORD_BYTES, len(w), WORD_BYTES)]
+    return out
+
+
+def _marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the words with a mark before each, the word's number, the place in it."""
+    raw = np.frombuffer(b"".join(w if w[:1] == LATER else b"\x01" + w for w in words), dtype=np.uint8)
+    start = raw <= LATER[0]
+    number = np.cumsum(start) - 1
+    return raw, number, np.arange(len(raw)) - np.flatnonzero(start)[number]
+
+
+def _counts(raw: np.ndarray, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Places that are neither a mark nor the context of a later piece."""
+    later = raw[place == 0] == LATER[0]
+    return place >= np.where(later, ORDER, 1)[number]
+
+
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Hashes of the byte n-grams that end at each place of each word.
 
@@ -71,11 +106,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     before a word has place 0), and for each order k an array of hashes.  The
     entry of order k holds k bytes and is valid where k - 1 <= place.
     """
-    raw = np.frombuffer(b"".join(b"\x01" + w for w in words), dtype=np.uint8)
-    start = raw == 1
-    number = np.cumsum(start) - 1
-    first = np.flatnonzero(start)
-    place = np.arange(len(raw)) - first[number]
+    raw, number, place = _marked(words)
     hashes = [mix64(raw.astype(np.uint64) + np.uint64(257))]
     for k in range(2, ORDER + 1):
         back = np.zeros(len(raw), dtype=np.uint64)
@@ -93,7 +124,7 @@ def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            seen[1 if label else 0].update({w[:WORD_BYTES] for w in words_of(text.as_py())})
+            seen[1 if label else 0].update(set(pieces_of(text.as_py())))
         words = list(seen[0].keys() | seen[1].keys())
         if words:
             yield pa.RecordBatch.from_arrays(
@@ -109,8 +140,9 @@ def _count_grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = batch.column(0).to_pylist()
         counts = [batch.column(i).to_numpy().astype(float) for i in (1, 2)]
         number, place, hashes = grams(words)
+        counted = _counts(*_marked(words))
         for k in range(1, ORDER + 1):
-            at = np.flatnonzero((place >= 1) & (place >= k - 1))
+            at = np.flatnonzero(counted & (place >= k - 1))
             if not len(at):
                 continue
             gram, index, inverse = np.unique(hashes[k - 1][at], return_index=True, return_inverse=True)
@@ -165,31 +197,38 @@ def fit_model(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
 
 def endings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the word and ending, as one whole number, of each byte of the words."""
-    raw = np.frombuffer(b"".join(b"\x01" + w for w in words), dtype=np.uint8)
-    start = raw == 1
-    number = np.cumsum(start) - 1
-    place = np.arange(len(raw)) - np.flatnonzero(start)[number]
+    raw, number, place = _marked(words)
     packed = raw.astype(np.int64)
     for i in range(1, ORDER):
         packed[i:] += np.where(place[i:] >= i, raw[: max(0, len(raw) - i)].astype(np.int64) << (8 * i), 0)
-    at = np.flatnonzero(place >= 1)
+    at = np.flatnonzero(_counts(raw, number, place))
     return number[at], packed[at]
 
 
 def _list_endings(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Endings of the words of each batch, with the number of words that have them."""
+    """Endings of the words, with the number of words that have them."""
     seen: set[bytes] = set()
+    new: set[bytes] = set()
+
+    def counted() -> pa.RecordBatch:
+        found, times = np.unique(endings(list(new))[1], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["ending", "n"])
+
     for batch in source:
-        if len(seen) > CACHED_WORDS:
-            seen.clear()
-        new: set[bytes] = set()
         for text in batch.column(0):
-            new.update(w[:WORD_BYTES] for w in words_of(text.as_py()))
-        words = list(new - seen)
-        seen.update(words)
-        for s in range(0, len(words), ROUND_WORDS):
-            found, times = np.unique(endings(words[s : s + ROUND_WORDS])[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], names=["ending", "n"])
+            new.update(pieces_of(text.as_py()))
+            if len(new) > ROUND_WORDS:
+                new -= seen
+                if len(new) < ROUND_WORDS // 2:
+                    continue
+                yield counted()
+                if len(seen) > LISTED_WORDS:
+                    seen.clear()
+                seen |= new
+                new = set()
+    new -= seen
+    if new:
+        yield counted()
 
 
 WANTED = "k int, gram bigint, context bigint, suffix bigint, ending bigint"
@@ -273,14 +312,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 NAMES = ["mean", *(f"peak{w}" for w in WINDOWS)]
 
 
+def _slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: words take many times the memory of the text."""
+    for batch in source:
+        for s in range(0, batch.num_rows, ROUND_ROWS):
+            yield batch.slice(s, ROUND_ROWS)
+
+
 def _featured(shared):
     """Features of each text, or the endings that they still need."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ratios = shared.value
         cache: dict[bytes, float] = {}
-        for batch in source:
-            texts = [[w[:WORD_BYTES] for w in words_of(t.as_py())] for t in batch.column(0)]
+        for batch in _slices(source):
+            texts = [pieces_of(t.as_py()) for t in batch.column(0)]
             if len(cache) > CACHED_WORDS:
                 cache.clear()
             new = list({w for t in texts for w in t} - cache.keys())
@@ -303,10 +349,10 @@ def _featured_alone(shared):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ratios = shared.value
-        for batch in source:
+        for batch in _slices(source):
             rows = []
             for text, own in zip(batch.column(0), batch.column(2), strict=True):
-                words = [w[:WORD_BYTES] for w in words_of(text.as_py())]
+                words = pieces_of(text.as_py())
                 once = list(set(words))
                 number, packed = endings(once)
                 at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))

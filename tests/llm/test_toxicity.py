@@ -91,3 +91,20 @@ def test_every_gram_counts_however_few_are_shared(spark):
     for bound in (tx.SHARED_ENDINGS, 40, 0):
         got = sorted(tuple(r) for r in tx.text_features(source, model, bound).collect())
         assert np.allclose(got, want, atol=1e-9), bound
+
+
+def test_long_words_count_whole(spark):
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefgh") for _ in range(333))
+    pieces = tx.pieces_of(word)
+    assert len(pieces) == 6 and tx.pieces_of("ab cd") == [b"ab", b"cd"] and tx.pieces_of("a" * 64) == [b"a" * 64]
+    # The pieces have just the endings that the uncut word has.
+    assert sorted(tx.endings(pieces)[1].tolist()) == sorted(tx.endings([word.encode()])[1].tolist())
+    # An expression late in an unspaced text is learnt and found.
+    glued = lambda n: "".join(rng.choice("日本語文字今天我們") for _ in range(n))
+    rows = [(i, glued(60) + ("毒毒悪" if i % 2 else glued(3)) + glued(10), i % 2) for i in range(80)]
+    model = tx.fit_model(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    same = glued(50)
+    source = spark.createDataFrame([(same + "毒毒悪", 1), (same + "日本語", 2)], "text string, id long")
+    got = {r.id: r.mean for r in tx.text_features(source, model).collect()}
+    assert got[1] > got[2] + 1
