@@ -71,3 +71,24 @@ def test_odd_rows(odd_docs, no_docs):
     got = lc.scan(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.n_licenses for r in got} == {0}
     assert lc.scan(no_docs).count() == 0
+
+
+def test_words_that_tell_licenses_apart():
+    s = lc.Scanner()
+    names = lambda text: [m[2] for m in s.scan(text)]
+    gnu = "is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    assert names("This program " + gnu.format("General Public License", 2)) == ["GPL-2.0"]
+    assert names("This program " + gnu.format("General Public License", 3)) == ["GPL-3.0"]
+    assert names("This library " + gnu.format("Lesser General Public License", 2.1)) == ["LGPL-2.1"]
+    assert names("This program " + gnu.format("Affero General Public License", 3)) == ["AGPL-3.0"]
+    assert names("Released under the Apache License.") == []
+    assert names("Licensed under the Educational Community License, Version 2.0") == []
+    assert names("This work is licensed under the GNU General Public License, version 4.") == []
+    assert names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"] and names("Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert names(lc.TEMPLATES["BSD-2-Clause"][0]) == ["BSD-2-Clause"] and names(lc.TEMPLATES["BSD-3-Clause"][0]) == ["BSD-3-Clause"]
+    assert names(lc.TEMPLATES["BSD"][0] + " as told elsewhere") == ["BSD"]
+
+
+def test_each_template_is_its_own_license():
+    s = lc.Scanner()
+    assert all([m[2] for m in s.scan(t)] == [name] for name, texts in lc.TEMPLATES.items() for t in texts)
