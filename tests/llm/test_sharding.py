@@ -43,3 +43,10 @@ def test_real_output_keeps_columns(spark, odd_docs, no_docs):
     assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id and r.text) == sorted((r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id and r.text)
     check(sh.digest(got).collect(), odd_docs.count(), 4, 10**6)
     assert sh.shard_rows(no_docs).count() == 0
+
+
+def test_boundaries_are_refined_to_the_last_bit(spark):
+    # All bytes lie in a range of keys that twelve 17-fold rounds leave in one bracket.
+    sized = spark.range(20_000).selectExpr("id AS key", "1L AS size")
+    edges = sh.splitters(sized, 20_000, 4, 1, sh.TOLERANCE)
+    assert all(abs(e - 5000 * i) <= 5000 * sh.TOLERANCE for i, e in enumerate(edges, 1)), edges
