@@ -8,7 +8,7 @@ Plan
 2. Each representative gets ``COORDINATES`` MinHash values and is posted under
    every (coordinate, value) pair.
 3. *Short* posting lists are merged: they emit their pairs and collisions are
-   counted; pairs with at least ``MATCHES`` collisions are candidates.
+   counted; pairs with enough collisions (``matches_for``) are candidates.
 4. *Long* lists are skipped by that merge.  Their members are posted again
    under the rarest shingles of their full sets (the prefix of a set for the
    similarity asked for: two sets that are linked must share one of them).  In
@@ -20,8 +20,11 @@ Plan
 5. Candidates are confirmed on the full sets, and links become components by
    alternating large-star and small-star steps over stored tables.
 
-With 32 coordinates and 16 matches a pair at similarity 0.85 is missed in step
-3 with a probability under 3e-6; step 4 is exact.
+The collisions asked for follow from the similarity: of 32 coordinates 16 at
+0.85 and 14 at 0.80.  A pair at just that similarity collides in fewer, and is
+missed, with a probability of 5.7e-7 at 0.85 and 1.2e-6 at 0.80.  Rows that
+share fewer coordinates with all others together are kept out of step 4 too,
+which is exact but for those.
 
 Defined results: a null or blank text has the empty set, is linked with
 nothing and is its own component.  Fewer words than a shingle give one shingle
@@ -32,6 +35,7 @@ themselves.  Equal ids are one document for the components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,7 @@ from ruleframe.llm.common import mix64, signed, stored
 
 SHINGLE = 5
 COORDINATES = 32
-MATCHES = 16
+MISS = 2e-6
 SHORT_LIST = 16
 
 
@@ -229,6 +233,18 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
+    """Most collisions to ask for that miss a pair at ``percent`` with less than ``MISS``."""
+    p = percent / 100
+    miss, m = 0.0, 0
+    while m < coordinates:
+        miss += comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if miss >= MISS:
+            break
+        m += 1
+    return max(1, m)
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -236,10 +252,11 @@ def near_duplicates(
     percent: int = 85,
     shingle: int = SHINGLE,
     coordinates: int = COORDINATES,
-    matches: int = MATCHES,
+    matches: int | None = None,
     short_list: int = SHORT_LIST,
 ) -> DataFrame:
     """``<row_id>, n_shingles, component_id, kept`` for every row of ``docs``."""
+    matches = matches_for(percent, coordinates) if matches is None else matches
     source = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = stored(source.mapInArrow(_sketch(coordinates, shingle), "id bigint, n bigint, h1 bigint, h2 bigint, sig array<bigint>"), "sketches")
 

@@ -76,3 +76,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 6, 8, 9, 10]
     assert kept.where("doc_id is null").count() == 2
     assert nd.near_duplicates(no_docs).count() == 0
+
+
+def test_matches_follow_the_similarity():
+    from math import comb
+
+    assert nd.matches_for(85) == 16 and nd.matches_for(80) == 14
+    for percent in (50, 80, 85, 95):
+        p, m = percent / 100, nd.matches_for(percent)
+        assert m == 1 or sum(comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(m)) < 2e-6
