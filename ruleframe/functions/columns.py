@@ -34,7 +34,13 @@ def _one(name: str, forward: Callable, back: Callable | None = None) -> None:
 
 
 def _divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def hash_unit(key: Column, seed: int) -> Column:
+    """The number in [0, 1) that the evaluator over values gives the key."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def _positive(x: Column, value: Column) -> Column:
@@ -66,8 +72,6 @@ for _n in range(1, 10):
     MODES["str", _n] = [(tuple(range(_n)), _n, lambda *a: F.concat(*[x.cast("string") for x in a]))]
 _one("cast_int", lambda a: F.floor(F.expr("try_cast(1 as double)") * 0 + a.try_cast("double")).cast("bigint"))
 _one("cast_float", lambda a: a.try_cast("double"))
-_one("random", lambda a: F.pmod(F.xxhash64(a), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-MODES["random", 3] = [((0, 1, 2), 3, lambda k, lo, hi: lo + (hi - lo) * F.pmod(F.xxhash64(k), F.lit(1 << 52)) / F.lit(float(1 << 52)))]
 MODES["$cons", 2] = [((0, 1), 2, lambda h, t: F.concat(F.array(h), t))]
 _one("list_length", lambda a: F.size(a).cast("bigint"))
 MODES["list_length", 2] = [((0,), 1, lambda a: F.size(a).cast("bigint"))]

@@ -76,6 +76,12 @@ def _last(items: list[tuple[Any, int]]) -> Any:
     return ABSENT if same(found, NULL) else found
 
 
+def _least(items: list[tuple[Any, int]]) -> Any:
+    values = [v for v, _ in items]
+    numbers = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
+    return min(values) if numbers else min(values, key=show)
+
+
 def _mean(items: list[tuple[Any, int]]) -> Any:
     values = _values(items)
     total = sum(values)
@@ -94,23 +100,32 @@ def _maps(items: list[tuple[Any, int]]) -> Any:
     return FrozenMap(out)
 
 
-def _exact(t: DataType) -> bool:
-    return isinstance(t, (IntegralType, DecimalType))
-
-
 def _sum_column(v: Column, t: DataType) -> Column:
-    if _exact(t):
-        total = F.sum(v.cast("decimal(38,0)"))
-        return total if isinstance(t, DecimalType) else total.cast("bigint")
-    return F.sum(v)
+    """Whole numbers are summed without overflow, to up to 38 digits.
+
+    64-bit values are summed as three parts of 21 bits (the first with the
+    sign), so each sum stays in 64 bits for up to 2 ** 41 rows of a group.
+    """
+    if isinstance(t, DecimalType):
+        return F.sum(v.cast("decimal(38,0)") if t.scale == 0 else v)
+    if not isinstance(t, IntegralType):
+        return F.sum(v)
+    v, mask = v.cast("bigint"), F.lit((1 << 21) - 1).cast("bigint")
+    parts = (F.shiftright(v, 42), F.shiftright(v, 21).bitwiseAND(mask), v.bitwiseAND(mask))
+    high, middle, low = (F.sum(p).cast("decimal(38,0)") for p in parts)
+    return (high * F.lit(1 << 42) + middle * F.lit(1 << 21) + low).cast("decimal(38,0)")
 
 
 def _product_column(v: Column, t: DataType) -> Column:
-    """Exact for whole numbers: a fold over the group's values, which the final
-    task holds; doubles use the built-in product."""
+    """Exact for whole numbers, to up to 38 digits: a fold over the values that
+    are neither 0, 1 nor -1, of which such a product has at most 126.  Doubles
+    use the built-in product."""
     if isinstance(t, (DoubleType, FloatType)):
         return F.product(v)
-    return F.aggregate(F.collect_list(v.cast("bigint")), F.lit(1).cast("bigint"), lambda a, x: a * x)
+    wide = v.cast("decimal(38,0)")
+    factors = F.aggregate(F.collect_list(F.when(F.abs(wide) > 1, wide)), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
+    sign = F.when(F.count(F.when(wide == -1, 1)) % 2 == 1, -1).otherwise(1)
+    return F.when(F.count(F.when(wide == 0, 1)) > 0, F.lit(0)).otherwise(factors * sign).cast("decimal(38,0)")
 
 
 def _unique_column(v: Column, t: DataType) -> Column:
@@ -122,13 +137,6 @@ def _unique_column(v: Column, t: DataType) -> Column:
     return F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.raise_error(F.lit("= has several values")).cast(t))
 
 
-def _merge_map_column(v: Column, t: DataType) -> Column:
-    entries = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_entries(v)))))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    # Entries are sorted by key, then value: the last of a key is its largest value.
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
-
-
 AGGREGATORS: dict[str, Aggregator] = {
     a.name: a
     for a in (
@@ -141,9 +149,9 @@ AGGREGATORS: dict[str, Aggregator] = {
         Aggregator("|=", lambda items: any(v is True for v in _values(items)), lambda v, t: F.bool_or(v), True, True),
         Aggregator("&=", lambda items: all(v is True for v in _values(items)), lambda v, t: F.bool_and(v), False, True),
         Aggregator(":=", _last, lambda v, t: v),
-        Aggregator("?=", lambda items: min((v for v, _ in items), key=show), lambda v, t: F.min(v), ABSENT, True),
+        Aggregator("?=", _least, lambda v, t: F.min(v), idempotent=True),
         Aggregator("concat_list=", _lists, lambda v, t: F.flatten(F.array_sort(F.collect_list(v)))),
-        Aggregator("merge_map=", _maps, _merge_map_column),
+        Aggregator("merge_map=", _maps, lambda v, t: v),
         Aggregator("mean=", _mean, lambda v, t: F.avg(v)),
     )
 }

@@ -9,20 +9,22 @@ Recursive functors are computed by :mod:`ruleframe.plans.fixpoint`.
 from __future__ import annotations
 
 import itertools
+import re
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegralType, MapType, NumericType, StringType, StructType
 
-from ruleframe.functions.columns import MODES, TESTS
-from ruleframe.functions.scalar import BUILTINS
+from ruleframe.functions.columns import MODES, TESTS, hash_unit
+from ruleframe.functions.scalar import BUILTINS, FREE
 from ruleframe.operators.aggregators import AGGREGATORS
 from ruleframe.plans.rules import Goal, Part, Rule, V, variables
 from ruleframe.plans.terms import NIL, NULL, FrozenMap, Handle, Keyed, RuleError, Term, UnsafeRuleError, is_list, uncons
 
 #: Largest number of distinct arguments that a recursive function over values may be asked for.
 DEMAND_ROWS = 10_000
+TYPES = ("int", "float", "number", "string", "bool")
 _count = itertools.count()
 
 
@@ -46,11 +48,16 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{f.name}`").cast("bigint").alias(f.name) if isinstance(f.dataType, IntegralType) else F.col(f"`{f.name}`") for f in df.schema))
 
 
+def whole(t: DataType) -> bool:
+    """Whole numbers: 64 bits, or the 38 digits of sums and products."""
+    return isinstance(t, IntegralType) or isinstance(t, DecimalType) and t.scale == 0
+
+
 def comparable(a: DataType, b: DataType, constant: bool) -> bool:
     """Whether values of two column types can be equal; constants take the
     numeric type of the column they meet."""
     if isinstance(a, NumericType) and isinstance(b, NumericType):
-        return constant or isinstance(a, IntegralType) == isinstance(b, IntegralType)
+        return constant or whole(a) == whole(b)
     return type(a) is type(b)
 
 
@@ -175,10 +182,20 @@ class Body:
         if g.kind == "apply":
             f = self.value(g.args[0]) if isinstance(g.args[0], V) else g.args[0]
             if isinstance(f, Term):
+                arity = len(f.args) + len(g.args) - 1
+                if self.c.session.functor(f.name, arity, self.c.file) is None and self.c.session.functor(f.name, arity, "main") is not None:
+                    # A name that came from the program into a library.
+                    self.join(self.c.relation(self.c.session.functor(f.name, arity, "main")), (*f.args, *g.args[1:]), g.out)
+                    return True
                 g2 = Goal("call", (*f.args, *g.args[1:]), g.out, f.name)
                 todo.append(g2)
                 return True
             return False
+        if g.kind == "inline" and g.data[0] == "|=" and self.known(g.data) and all(map(is_type_test, g.data[1])):
+            # One type or another: columns have one type, so this is known now.
+            tests = [p.goals[0] for p in g.data[1]]
+            self.match_result(g.out, F.lit(any(has_type(self.type_of(self.column(t.args[0])), t.name) for t in tests)))
+            return True
         if g.kind != "call":
             return False
         return self.builtin(g)
@@ -195,16 +212,18 @@ class Body:
                 test = TESTS[name](a, b)
             self.match_result(g.out, test)
             return True
+        if not args and (name == "$null" or name in TYPES):
+            return self.scalar(Goal("unify", (NULL if name == "$null" else Term(name), g.out)), [])
         if name == "range" and len(args) in (2, 3, 4):
             return self.range(g)
-        if name in ("int", "float", "number", "string", "bool", "map", "list") and len(args) == 1:
+        if name in (*TYPES, "map", "list") and len(args) == 1:
             if not self.known(args):
                 return False
             self.match_result(g.out, F.lit(has_type(self.type_of(self.column(args[0])), name)))
             return True
-        if name == "list" and len(args) == 2 and self.known(args[1]):
+        if name == "list" and len(args) == 2 and self.known(args):
             kind = self.type_of(self.column(args[1]))
-            inner = args[0].name if isinstance(args[0], Term) else ""
+            inner = self.value(args[0]).name if isinstance(self.value(args[0]), Term) else ""
             self.match_result(g.out, F.lit(isinstance(kind, ArrayType) and has_type(kind.elementType, inner)))
             return True
         if name == "in_list" and len(args) == 2 and self.known(args[1]):
@@ -221,9 +240,12 @@ class Body:
             self.match_result(g.out, F.lit(name == "$ground"))
             return True
         if name == "$regex_match" and len(args) == 2 and self.known(args):
-            at = f"x{next(_count)}"
-            self.df = self.frame.withColumn(at, F.explode(F.regexp_extract_all(self.column(args[1]), self.column(args[0]), F.lit(0))))
-            self.match_result(g.out, F.array(F.col(at)))
+            self.regex(g)
+            return True
+        if name == "random" and len(args) in (1, 3) and self.known(args):
+            unit = hash_unit(self.column(args[0]), self.c.session.seed)
+            lo, hi = map(self.column, args[1:]) if len(args) == 3 else (F.lit(0.0), F.lit(1.0))
+            self.match_result(g.out, lo + (hi - lo) * unit)
             return True
         if name == "$map_element" and len(args) == 4 and self.known(args[3]):
             m = self.column(args[3])
@@ -240,6 +262,12 @@ class Body:
         if name == "$arg" and len(args) == 1 and isinstance(args[0], V) and f"{args[0].name}$key" in self.columns:
             self.match_result(g.out, F.col(self.columns[f"{args[0].name}$key"]))
             return True
+        host = self.c.session.functions.get((name, len(args)))
+        if host is not None and all(not variables(a) or isinstance(a, V) and a.name in self.constants for a in args):
+            found = list(host(*map(self.value, args), FREE) or ())
+            if len(found) > 1:
+                return False
+            return self.scalar(Goal("unify", (found[0][-1], g.out)), []) if found else self.scalar(Goal("unify", (True, False)), [])
         udf = self.c.session.udfs.get((name, len(args)))
         if udf is not None:
             if not self.known(args):
@@ -255,6 +283,18 @@ class Body:
                 return True
         return False
 
+    def regex(self, g: Goal) -> None:
+        """A row for each match: the list of its groups, or of the match if there are none."""
+        pattern, text = g.args
+        known = self.value(pattern)
+        groups = re.compile(known).groups if isinstance(known, str) else 0
+        each = [F.regexp_extract_all(self.column(text), self.column(pattern), F.lit(i)) for i in range(1, groups + 1) or (0,)]
+        names = [f"g{i}" for i in range(len(each))]
+        at = f"x{next(_count)}"
+        self.df = self.frame.withColumn(at, F.explode(F.arrays_zip(*(c.alias(n) for c, n in zip(each, names, strict=True)))))
+        cells = [F.col(at)[i] for i in self.frame.schema[at].dataType.names]
+        self.match_result(g.out, F.array(*cells))
+
     def bounded(self, todo: list[Goal]) -> bool:
         """``int(X)`` between known bounds lists whole numbers; the bounds stay as filters."""
         flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
@@ -289,11 +329,10 @@ class Body:
         lo, hi, step = (0, *bounds, 1) if len(bounds) == 1 else (*bounds, 1) if len(bounds) == 2 else bounds
         if not self.known((lo, hi, step)):
             return False
-        a, b, s = map(self.column, (lo, hi, step))
+        a, b, s = (self.column(e).cast("bigint") for e in (lo, hi, step))
         if self.known(x):
             c = self.column(x)
-            whole = isinstance(self.type_of(c), IntegralType)
-            inside = ((s > 0) & (c >= a) & (c < b) | (s < 0) & (c <= a) & (c > b)) & ((c - a) % s == 0) if whole else F.lit(False)
+            inside = ((s > 0) & (c >= a) & (c < b) | (s < 0) & (c <= a) & (c > b)) & ((c - a) % s == 0) if whole(self.type_of(c)) else F.lit(False)
             self.match_result(g.out, inside)
             return True
         at = f"x{next(_count)}"
@@ -463,9 +502,13 @@ class Body:
         self.join(found, tuple(V(k) for k in keys or ()), g.out)
 
 
+def is_type_test(p: Part) -> bool:
+    return p.value is True and len(p.goals) == 1 and p.goals[0].kind == "call" and p.goals[0].out is True and len(p.goals[0].args) == 1 and p.goals[0].name in (*TYPES, "map", "list")
+
+
 def has_type(t: DataType, name: str) -> bool:
     if name == "int":
-        return isinstance(t, IntegralType) or isinstance(t, NumericType) and "decimal(38,0)" == t.simpleString()
+        return whole(t)
     if name == "float":
         return t.simpleString() in ("double", "float")
     return isinstance(t, {"number": NumericType, "string": StringType, "bool": BooleanType, "map": MapType, "list": ArrayType}.get(name, StructType))
@@ -572,6 +615,11 @@ class Compiler:
                 done = self.frames[functor.key]
             else:
                 done = self.combined(functor.rules, self.contribution)
+                if functor.memo == "null":
+                    # Kept as a table: every use reads it instead of computing it again.
+                    from ruleframe.plans.fixpoint import checkpointed
+
+                    done = checkpointed(done)
             self.frames[functor.key] = done
         return done
 
@@ -598,6 +646,10 @@ class Compiler:
         """Rows ``a0.., v [, k], n`` of one rule, before aggregation."""
         before, self.file = self.file, r.file
         try:
+            if start is None and override is None and constants is None:
+                found = self.ordered(r)
+                if found is not None:
+                    return found
             body = Body(self, None, {}, constants)
             if start is not None:
                 body.df = start
@@ -607,7 +659,8 @@ class Compiler:
             if not body.known((r.head, r.part.value, r.part.key)):
                 raise UnsafeRuleError(f"{r.name}/{r.arity}: an argument or the value stays free")
             out = [body.column(h).alias(f"a{i}") for i, h in enumerate(r.head)]
-            out.append(body.column(r.part.value).alias("v"))
+            gone = r.aggregator == ":=" and (body.value(r.part.value) if isinstance(r.part.value, V) else r.part.value) == NULL
+            out.append((F.lit(None) if gone else body.column(r.part.value)).alias("v"))
             if r.part.key is not None:
                 out.append(body.column(r.part.key).alias("k"))
             return body.frame.select(*out, F.lit(r.number).alias("n"))
@@ -637,30 +690,70 @@ class Compiler:
         group = rows.groupBy(*keys)
         extra = [F.count(F.lit(1)).alias("c")]
         if op == ":=":
-            # The last rule that gives a value decides; two values of that one conflict.
-            if orderable(kind):
-                best = group.agg(F.max(F.struct("n", "v")).alias("m"), *extra).select(*keys, F.col("m.v").alias("v"), "c")
-            else:
-                best = group.agg(F.max_by("v", "n").alias("v"), *extra)
-            if isinstance(kind, StructType) and "functor" in kind.names:
-                best = best.where(F.col("v.functor") != NULL.name)
+            best = self.overridden(group, keys, kind, extra)
+        elif op == "merge_map=":
+            best = self.merged_maps(rows, keys, extra)
         elif "k" in rows.columns and op in ("max=", "min="):
-            order = F.col("v") if op == "min=" else F.col("v")
-            value = F.max("v") if op == "max=" else F.min("v")
             # Ties go to the least witness.
-            top = group.agg(value.alias("m"))
-            on = [*(rows[k].eqNullSafe(top[k]) for k in keys), rows["v"] == top["m"]]
-            if keys:
-                witness = F.min(F.struct((-order if op == "max=" else order).alias("o"), "k"))
-                best = group.agg(value.alias("v"), witness.alias("w"), *extra).select(*keys, "v", F.col("w.k").alias("k"), "c")
+            if op == "min=":
+                best = group.agg(F.min(F.struct("v", "k")).alias("w"), *extra)
+            elif isinstance(kind, (DoubleType, FloatType)):
+                best = group.agg(F.min(F.struct((-F.col("v")).alias("o"), "k", "v")).alias("w"), *extra)
             else:
-                best = rows.join(top, reduce(lambda a, b: a & b, on)).agg(F.max("v").alias("v"), F.min("k").alias("k"), *extra)
+                once = rows.groupBy(*keys, "v").agg(F.min("k").alias("k"))
+                best = once.groupBy(*keys).agg(F.max(F.struct("v", "k")).alias("w"), *extra)
+            best = best.select(*keys, F.col("w.v").alias("v"), F.col("w.k").alias("k"), "c")
         else:
             best = group.agg(AGGREGATORS[op].column(F.col("v"), kind).alias("v"), *extra)
         if not keys:
             best = best.where(F.col("c") > 0)
         return best.drop("c")
 
+    @staticmethod
+    def overridden(group: Any, keys: list[str], kind: DataType, extra: list[Column]) -> DataFrame:
+        """The last rule that gives a value decides; two values of that one conflict, $null deletes."""
+        if orderable(kind):
+            best = group.agg(F.max(F.struct("n", "v")).alias("m"), F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("l"), *extra)
+            checked = F.when(F.col("m.v").eqNullSafe(F.col("l.v")), F.col("m.v")).otherwise(F.raise_error(F.lit(":= has several values")).cast(kind))
+            best = best.select(*keys, checked.alias("v"), "c")
+        else:
+            best = group.agg(F.max_by("v", "n").alias("v"), *extra)
+        best = best.where(F.col("v").isNotNull())
+        return best.where(F.col("v.functor") != NULL.name) if isinstance(kind, StructType) and "functor" in kind.names else best
+
+    @staticmethod
+    def merged_maps(rows: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
+        """Entries are reduced by their key first; the largest value of a key stays."""
+        entries = rows.select(*keys, F.explode_outer("v").alias("__key", "__value"))
+        once = entries.groupBy(*keys, "__key").agg(F.max("__value").alias("__value"))
+        entry = F.when(F.col("__key").isNotNull(), F.struct("__key", "__value"))
+        return once.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("v"), *extra)
+
+    # Aggregates over an inequality ---------------------------------------------------
+
+    def ordered(self, r: Rule) -> DataFrame | None:
+        """``f(A..) += B for p(A.., S), q(B, T), T <= S``: a running aggregate instead of all pairs."""
+        sides = inequality_sides(r, self)
+        if sides is None:
+            return None
+        near, far, shared, op, near_at, far_at = sides
+        a, b = Body(self).run(near), Body(self).run(far)
+        value, head = r.part.value, r.head
+        if not (a.known(head) and b.known(value) and all(n in a.columns and n in b.columns for n in shared) and near_at in a.columns and far_at in b.columns):
+            return None
+        pairs = [(a.type_of(F.col(a.columns[n])), b.type_of(F.col(b.columns[n]))) for n in (*shared,)]
+        places = (a.type_of(F.col(a.columns[near_at])), b.type_of(F.col(b.columns[far_at])))
+        kind = b.type_of(b.column(value))
+        if not all(comparable(x, y, False) for x, y in pairs) or not (comparable(*places, True)) or r.aggregator == "+=" and not isinstance(kind, NumericType):
+            return None
+        from ruleframe.operators.running import running_aggregate
+
+        keys = [f"k{i}" for i in range(len(shared))]
+        asks = a.frame.select(*(F.col(a.columns[n]).alias(k) for n, k in zip(shared, keys, strict=True)), F.col(a.columns[near_at]).alias("at"), *(a.column(h).alias(f"a{i}") for i, h in enumerate(head)))
+        gives = b.frame.select(*(F.col(b.columns[n]).alias(k) for n, k in zip(shared, keys, strict=True)), F.col(b.columns[far_at]).alias("at"), b.column(value).alias("v"))
+        found = running_aggregate(asks, gives, keys, r.arity, op, r.aggregator, whole(kind))
+        return found.select(*(f"a{i}" for i in range(r.arity)), "v", F.lit(r.number).alias("n"))
+
     def method(self, target: Handle, name: str, arity: int) -> DataFrame:
         frames: dict[str, list[DataFrame]] = {}
         for number, values in target.classes:
@@ -673,12 +766,75 @@ class Compiler:
         return united([self.aggregated(united(f), arity, op) for op, f in frames.items()])
 
     def local_rows(self, functor: Any, asked: DataFrame) -> DataFrame:
-        """Values of a recursive function for a small set of arguments."""
+        """Values of a recursive function for distinct arguments.
+
+        Up to ``DEMAND_ROWS`` are computed on the driver; beyond it each task
+        evaluates its own, and the first ones tell the types.
+        """
         rows = asked.limit(DEMAND_ROWS + 1).collect()
-        if len(rows) > DEMAND_ROWS:
-            raise RuleError(f"{functor.name} is asked for more than {DEMAND_ROWS} arguments")
-        found = [a for r in rows for a in self.session.local_answers(functor, tuple(map(self.session.to_value, r)))]
-        return self.session.frame_of_rows(found, functor.arity)
+        session, key, arity = self.session, functor.key, functor.arity
+        found = [a for r in rows[:DEMAND_ROWS] for a in session.local_answers(functor, tuple(map(session.to_value, r)))]
+        known = session.frame_of_rows(found, arity)
+        if len(rows) <= DEMAND_ROWS:
+            return known
+
+        def run(batches: Any) -> Any:
+            import pandas as pd
+
+            for batch in batches:
+                given = (tuple(map(session.to_value, r)) for r in batch.itertuples(index=False, name=None))
+                yield pd.DataFrame(session.encoded_rows([a for g in given for a in session.local_answers(session.functors[key], g)], kinds), columns=names)
+
+        names, kinds = known.columns, [f.dataType for f in known.schema]
+        return asked.mapInPandas(run, known.schema)
+
+
+FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def inequality_sides(r: Rule, compiler: Compiler) -> tuple | None:
+    """The two relations of a body that share variables and one inequality.
+
+    (goals of the side of the head, goals of the other, shared names, the
+    inequality as seen from the other side, its names on both sides), or None.
+    """
+    goals = r.part.goals
+    relations = [g for g in goals if g.kind == "call" and compiler.has_relation(g)]
+    if r.aggregator not in ("+=", "max=", "min=") or r.part.key is not None or len(relations) != 2:
+        return None
+    sides, names = [[g] for g in relations], [variables(g) for g in relations]
+    shared = names[0] & names[1]
+    if any(n in variables(g.out) for g in relations for n in shared):
+        return None
+    todo = [g for g in goals if g not in relations]
+    moved = True
+    while moved:
+        moved = False
+        for g in todo:
+            if g.kind not in ("unify", "call", "map"):
+                return None
+            own = variables(g)
+            touched = [i for i in (0, 1) if own & (names[i] - shared)]
+            if len(touched) == 2 or not own & (names[0] | names[1]):
+                continue
+            i = touched[0] if touched else 0
+            sides[i].append(g)
+            names[i] |= own
+            todo.remove(g)
+            moved = True
+            break
+    if len(todo) != 1 or todo[0].name not in FLIP or todo[0].out is not True or not all(isinstance(x, V) for x in todo[0].args):
+        return None
+    for near in (0, 1):
+        far = 1 - near
+        x, y = (v.name for v in todo[0].args)
+        value = variables(r.part.value)
+        if variables(r.head) <= names[near] and value <= names[far] - shared and not (names[0] & names[1]) - shared:
+            if x in names[far] - shared and y in names[near] - shared:
+                return sides[near], sides[far], sorted(shared), todo[0].name, y, x
+            if y in names[far] - shared and x in names[near] - shared:
+                return sides[near], sides[far], sorted(shared), FLIP[todo[0].name], x, y
+    return None
 
 
 def orderable(t: DataType) -> bool:

@@ -12,6 +12,7 @@ folder, so a lost executor costs a re-read and plans do not grow.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from typing import Any
 
@@ -26,9 +27,11 @@ MOST_ROUNDS = 1000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where
-    that is unset (single-process tests)."""
+    that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ruleframe.rounds.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuleError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ruleframe-rounds-")
         spark.conf.set("ruleframe.rounds.dir", named)
         spark.sparkContext.setCheckpointDir(named)

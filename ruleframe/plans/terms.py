@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -136,6 +137,8 @@ def to_value(x: Any) -> Any:
         return cons(map(to_value, x))
     if isinstance(x, dict):
         return FrozenMap((to_value(k), to_value(v)) for k, v in x.items())
+    if isinstance(x, Decimal):
+        return int(x) if x == x.to_integral_value() else float(x)
     if x is None or isinstance(x, (bool, int, float, str, Term, FrozenMap, Handle, Opaque)):
         return NULL if x is None else x
     return Opaque(x)

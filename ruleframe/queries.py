@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ruleframe import host_queries
 from ruleframe.session import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,7 @@ class Entry:
     columns: tuple[str, ...]
     sql: str | None
     rounded: int | None = None
+    wide: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         session = Session(spark)
@@ -39,7 +41,8 @@ class Entry:
             if kind == "double" and self.rounded is not None:
                 df = df.withColumn(f.name, F.round(f.name, self.rounded))
             elif kind.startswith("decimal"):
-                df = df.withColumn(f.name, F.col(f.name).cast("string"))
+                # Sums and products of whole numbers have 38 digits.
+                df = df.withColumn(f.name, F.col(f.name).cast("string" if self.wide else "bigint"))
         return df
 
 
@@ -60,8 +63,8 @@ EV = ("events", ["event_id", "user_id", "event_type"], "value")
 ENTRIES: dict[str, Entry] = {}
 
 
-def add(name: str, tables: dict, program: str, result: tuple[str, int], columns: str, sql: str | None, rounded: int | None = None) -> None:
-    ENTRIES[name] = Entry(tables, program, result, tuple(columns.split()), sql, rounded)
+def add(name: str, tables: dict, program: str, result: tuple[str, int], columns: str, sql: str | None, rounded: int | None = None, wide: bool = False) -> None:
+    ENTRIES[name] = Entry(tables, program, result, tuple(columns.split()), sql, rounded, wide)
 
 
 # Sources --------------------------------------------------------------------------
@@ -83,7 +86,7 @@ add("project_anonymous", {"o": ORD}, "r(S) :- _ = o(_,_,S).", ("r", 1), "s", "SE
 add("typed_argument", {"p": PART}, "r(B) += S for _ = p(_,B,S:int), S > 40.", ("r", 1), "b s", "SELECT p_brand b, CAST(sum(p_size) AS BIGINT) s FROM part WHERE p_size > 40 GROUP BY 1")
 add("type_tests", {"c": CUST}, "r(K) = int(K) && float(B) && string(S) && !number(S) for B = c(K,_,S).", ("r", 1), "k b", "SELECT c_custkey k, true b FROM customer")
 add("strict_equality", {"p": PART}, "n += 1 for R = p(_,_,S), R == S. n += 100.", ("n", 0), "n", "SELECT CAST(100 AS BIGINT) n")
-add("user_call", {"p": PART}, "twice(X) = X * 2. r(K) = twice(S) for _ = p(K,_,S), S > 48.", ("r", 1), "k d", "SELECT p_partkey k, CAST(p_size * 2 AS BIGINT) d FROM part WHERE p_size > 48")
+add("user_call", {"p": PART}, "twice(X) = X * 2. r(K) = twice(S) for _ = p(K,_,S).", ("r", 1), "k d", "SELECT p_partkey k, CAST(p_size * 2 AS BIGINT) d FROM part")
 add("conditional_function", {"p": PART}, 'band(S) := "small" for S < 20. band(S) := "large" for S >= 20. n(B) += 1 for _ = p(_,_,S), B = band(S).', ("n", 1), "b n", "SELECT CASE WHEN p_size < 20 THEN 'small' ELSE 'large' END b, CAST(count(*) AS BIGINT) n FROM part GROUP BY 1")
 
 # Joins ------------------------------------------------------------------------------
@@ -104,6 +107,8 @@ add("join_skip_variable", {"o": ORD, "c": CUST}, "seg(S) :- _ = c(C,_,S), _ = o(
 # Aggregators --------------------------------------------------------------------------
 add("agg_sum", {"p": PART}, "r(B) += S for _ = p(_,B,S).", ("r", 1), "b s", "SELECT p_brand b, CAST(sum(p_size) AS BIGINT) s FROM part GROUP BY 1")
 add("agg_product", {"n": NAT}, "r(R) *= K + 1 for n(K,_,R).", ("r", 1), "r v", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(product(n_nationkey + 1) AS BIGINT) v FROM nation GROUP BY 1")
+add("agg_product_wide", {"n": NAT}, "r *= K + 1 for n(K,_,_), K < 25.", ("r", 0), "v", "SELECT CAST(factorial(25) AS VARCHAR) v", wide=True)
+add("agg_sum_wide", {"o": ORD}, "r(S) += K * 100000000000000 for _ = o(K,_,S).", ("r", 1), "s v", "SELECT o_orderstatus s, CAST(sum(CAST(o_orderkey AS HUGEINT) * 100000000000000) AS VARCHAR) v FROM orders GROUP BY 1", wide=True)
 add("agg_unique", {"n": NAT}, "r(K) = M for n(K,M,_).", ("r", 1), "k n", "SELECT CAST(n_nationkey AS BIGINT) k, n_name n FROM nation")
 add("agg_max", {"o": ORD}, "r(C) max= P for P = o(_,C,_).", ("r", 1), "c p", "SELECT o_custkey c, max(o_totalprice) p FROM orders GROUP BY 1")
 add("agg_min", {"o": ORD}, "r(C) min= P for P = o(_,C,_). r(C) min= 50000.0 for _ = o(_,C,_).", ("r", 1), "c p", "SELECT o_custkey c, least(min(o_totalprice), 50000.0) p FROM orders GROUP BY 1")
@@ -111,7 +116,7 @@ add("agg_exists", {"o": ORD}, 'r(C) :- _ = o(_,C,"F").', ("r", 1), "c", "SELECT
 add("agg_or", {"o": ORD}, "r(C) |= P > 300000 for P = o(_,C,_).", ("r", 1), "c b", "SELECT o_custkey c, bool_or(o_totalprice > 300000) b FROM orders GROUP BY 1")
 add("agg_and", {"o": ORD}, "r(C) &= P > 20000 for P = o(_,C,_).", ("r", 1), "c b", "SELECT o_custkey c, bool_and(o_totalprice > 20000) b FROM orders GROUP BY 1")
 add("agg_override", {"c": CUST, "o": ORD}, 'big(C) :- P = o(_,C,_), P > 400000. lbl(C) := "none" for _ = c(C,_,_). lbl(C) := "big" for big(C).', ("lbl", 1), "c l", "SELECT c_custkey c, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) THEN 'big' ELSE 'none' END l FROM customer")
-add("agg_override_null", {"n": NAT}, "keep(K) := R for n(K,_,R), R > 1. gone(K) :- n(K,_,3). left(K) :- keep(K) = _, !is_defined(gone(K)).", ("left", 1), "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation WHERE n_regionkey > 1 AND n_regionkey <> 3")
+add("agg_override_null", {"n": NAT}, "keep(K) := R for n(K,_,R), R > 1. keep(K) := $null for n(K,_,3).", ("keep", 1), "k r", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(n_regionkey AS BIGINT) r FROM nation WHERE n_regionkey > 1 AND n_regionkey <> 3")
 add("agg_any", {"o": ORD}, "r(S) ?= K for _ = o(K,_,S).", ("r", 1), "s k", "SELECT o_orderstatus s, min(o_orderkey) k FROM orders GROUP BY 1")
 add("agg_concat_list", {"n": NAT}, "l(R) concat_list= [M] for n(_,M,R). r(R, N) :- l(R) = L, list_length(L) = N.", ("r", 2), "r n", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(count(*) AS BIGINT) n FROM nation GROUP BY 1")
 add("agg_merge_map", {"n": NAT}, "m(R) merge_map= {M -> K} for n(K,M,R). r(R) = $map_keys(M) for m(R) = M.", ("r", 1), "r k", "SELECT CAST(n_regionkey AS BIGINT) r, list_sort(list(n_name)) k FROM nation GROUP BY 1")
@@ -120,6 +125,7 @@ add("agg_count", {"li": LI}, "r(F) += 1 for _ = li(_,_,_,_,F).", ("r", 1), "f n"
 add("agg_count_distinct", {"li": LI}, "d(F,P) :- _ = li(_,P,_,_,F). r(F) += 1 for d(F,_).", ("r", 1), "f n", "SELECT l_returnflag f, CAST(count(DISTINCT l_partkey) AS BIGINT) n FROM lineitem GROUP BY 1")
 add("agg_argmax", {"o": ORD}, "top(S) max= P for P = o(K,_,S) arg K. r(S) = $arg(top(S)).", ("r", 1), "s k", "SELECT o_orderstatus s, arg_max(o_orderkey, o_totalprice) k FROM orders GROUP BY 1")
 add("agg_argmin_value", {"o": ORD}, "low(S) min= P for P = o(K,_,S) with_key K. r(S) = $value(low(S)).", ("r", 1), "s p", "SELECT o_orderstatus s, min(o_totalprice) p FROM orders GROUP BY 1")
+add("agg_argmax_text", {"c": CUST}, "last(N) max= S for _ = c(K,N,S) arg K. r(N,S,K) :- S = last(N), K = $arg(last(N)).", ("r", 3), "n s k", "SELECT CAST(c_nationkey AS BIGINT) n, max(c_mktsegment) s, min(c_custkey) FILTER (WHERE c_mktsegment = m) k FROM (SELECT *, max(c_mktsegment) OVER (PARTITION BY c_nationkey) m FROM customer) GROUP BY 1")
 add("agg_multi_rule", {"c": CUST, "s": SUPP}, "t(N) += B for B = c(_,N,_). t(N) += B for B = s(_,N).", ("t", 1), "n b", "SELECT CAST(n AS BIGINT) n, round(sum(b), 2) b FROM (SELECT c_nationkey n, c_acctbal b FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1", 2)
 add("agg_semicolon", {"c": CUST}, "t(N) += B for B = c(_,N,_) ; 100.0 for _ = c(_,N,_).", ("t", 1), "n b", "SELECT CAST(c_nationkey AS BIGINT) n, round(sum(c_acctbal) + 100 * count(*), 2) b FROM customer GROUP BY 1", 2)
 add("agg_empty_group", {"li": LI}, "n += 1 for Q = li(_,_,_,_,_), Q > 100000.0.", ("n", 0), "n", "SELECT CAST(1 AS BIGINT) n WHERE false")
@@ -153,12 +159,13 @@ add("fn_inv_hyper", {"p": PART}, "r(K,A,B,C) :- _ = p(K,_,S), A = asinh(S), B =
 add("fn_str", {"n": NAT}, 'r(K) = str(M, "/", R, "!") for n(K,M,R).', ("r", 1), "k s", "SELECT CAST(n_nationkey AS BIGINT) k, n_name || '/' || n_regionkey || '!' s FROM nation")
 add("fn_cast", {"p": PART}, "r(K,A,B) :- R = p(K,_,S), A = cast_int(R), B = cast_float(S).", ("r", 3), "k a b", "SELECT p_partkey k, CAST(floor(p_retailprice) AS BIGINT) a, CAST(p_size AS DOUBLE) b FROM part")
 add("fn_regex", {"n": NAT}, 'r(K,D) :- n(K,M,_), $regex_match("[0-9]", M) = [D].', ("r", 2), "k d", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) k, unnest(regexp_extract_all(n_name, '[0-9]')) d FROM nation")
-add("fn_random", {"n": NAT}, "r(K) = random(K, 5, 9) for n(K,_,_). ok += 1 for X = r(_), X >= 5, X < 9.", ("ok", 0), "n", "SELECT CAST(count(*) AS BIGINT) n FROM nation")
+add("fn_regex_groups", {"n": NAT}, 'r(K,A,D) :- n(K,M,_), $regex_match("([A-Z])([0-9]|_)", M) = [A,D].', ("r", 3), "k a d", "SELECT DISTINCT CAST(k AS BIGINT) k, m[1] a, m[2] d FROM (SELECT n_nationkey k, unnest(regexp_extract_all(n_name, '[A-Z][0-9_]')) m FROM nation)")
+add("fn_random", {"n": NAT}, "r(K) = random(K, 5, 9) for n(K,_,_).", ("r", 1), "k x", "SELECT CAST(n_nationkey AS BIGINT) k, round(5 + 4 * (CAST('0x' || substr(md5('0:' || n_nationkey), 1, 13) AS BIGINT) / 4503599627370496.0), 6) x FROM nation", 6)
 add("fn_is_defined", {"c": CUST, "o": ORD}, "big(C) :- P = o(_,C,_), P > 450000. r(C) = is_defined(big(C)) for _ = c(C,_,_).", ("r", 1), "c b", "SELECT c_custkey c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) b FROM customer")
 add("list_build", {"n": NAT}, "r(K) = [M, \"x\" | []] for n(K,M,_).", ("r", 1), "k l", "SELECT CAST(n_nationkey AS BIGINT) k, [n_name, 'x'] l FROM nation")
 add("list_destructure", {"n": NAT}, "l(K) = [K, R, 7] for n(K,_,R). r(K,A,N) :- l(K) = [A | T], list_length(T) = N.", ("r", 3), "k a n", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(n_nationkey AS BIGINT) a, CAST(2 AS BIGINT) n FROM nation")
 add("list_length", {"n": NAT}, "l(R) concat_list= [K, K] for n(K,_,R). r(R) = list_length(l(R)).", ("r", 1), "r n", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(2 * count(*) AS BIGINT) n FROM nation GROUP BY 1")
-add("list_member", {"n": NAT}, "l(R) concat_list= [K] for n(K,_,R). r(R,X) :- l(R) = L, in_list(X, L), X > 10.", ("r", 2), "r x", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(n_nationkey AS BIGINT) x FROM nation WHERE n_nationkey > 10")
+add("list_member", {"n": NAT}, "l(R) concat_list= [K] for n(K,_,R). r(R,X) :- l(R) = L, in_list(X, L).", ("r", 2), "r x", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(n_nationkey AS BIGINT) x FROM nation")
 add("map_get", {"n": NAT}, 'm(K) = {"a" -> K, "b" -> R} for n(K,_,R). r(K) = X for m(K) = {"b" -> X | _}.', ("r", 1), "k x", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(n_regionkey AS BIGINT) x FROM nation")
 add("map_put", {"n": NAT}, 'm(K) = {"a" -> K} for n(K,_,_). p(K) = {"b" -> 5 | M} for m(K) = M. r(K,X) :- p(K) = {"b" -> X | _}.', ("r", 2), "k x", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(5 AS BIGINT) x FROM nation")
 add("map_element", {"n": NAT}, 'm(K) = {"a" -> K, "b" -> R} for n(K,_,R). r(K,Y,V) :- M = m(K), $map_element(Y, V, _, M).', ("r", 3), "k y v", "SELECT CAST(n_nationkey AS BIGINT) k, 'a' y, CAST(n_nationkey AS BIGINT) v FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'b', CAST(n_regionkey AS BIGINT) FROM nation")
@@ -172,19 +179,19 @@ add("rec_path_counts", {"n": NAT}, "paths(0) += 1. paths(Y) += paths(X) for n(X,
 add("rec_fib", {}, 'fib(0) := 0. fib(1) := 1. fib(N) := fib(N-1) + fib(N-2) for N > 1. $memo(fib[N:$ground]) = "unk". r(N) = str(fib(N)) for range(0, 91, N).', ("r", 1), "n f", "WITH RECURSIVE f AS (SELECT 0 n, CAST(0 AS HUGEINT) a, CAST(1 AS HUGEINT) b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 90) SELECT CAST(n AS BIGINT) n, CAST(a AS VARCHAR) f FROM f")
 add("rec_fact", {"p": PART}, "fact(0) = 1. fact(N) = N * fact(N-1) for N > 0. size(S) :- _ = p(_,_,S), S <= 20. r(S) = fact(S) for size(S).", ("r", 1), "s f", "SELECT DISTINCT CAST(p_size AS BIGINT) s, CAST(factorial(p_size) AS BIGINT) f FROM part WHERE p_size <= 20")
 add("rec_edit_distance", {}, 'd([],[]) min= 0. d([X|A],B) min= 1 + d(A,B). d(A,[Y|B]) min= 1 + d(A,B). d([X|A],[Y|B]) min= d(A,B) for X == Y. d([X|A],[Y|B]) min= 1 + d(A,B) for X != Y. w(1,["k","i","t","t","e","n"]). w(2,["s","i","t","t","i","n","g"]). w(3,["s","u","n"]). r(I,J) = d(A,B) for w(I,A), w(J,B).', ("r", 2), "i j d", "SELECT CAST(a.i AS BIGINT) i, CAST(b.i AS BIGINT) j, levenshtein(a.s, b.s) d FROM (VALUES (1,'kitten'),(2,'sitting'),(3,'sun')) a(i,s), (VALUES (1,'kitten'),(2,'sitting'),(3,'sun')) b(i,s)")
-add("rec_cky", {}, 'w(0)="p". w(1)="e". w(2)="t". w(3)="c". ru("S","N","V")=0.5. ru("V","E","N")=0.25. ru("N","D","C")=0.5. ru("N","p")=1.0. ru("E","e")=1.0. ru("D","t")=1.0. ru("C","c")=1.0. ph(I,K,T) max= ph(I,J,X)*ph(J,K,Y)*ru(T,X,Y) for range(I+1,K,J), I+2 <= K arg x[T,$arg(ph(I,J,X)),$arg(ph(J,K,Y))]. ph(I,I+1,T) max= ru(T,w(I)) arg [w(I)]. $memo(ph[A:$free,B:$free,C:$free]) = "null". r(T) = P for P = $value(ph(0,4,T)).', ("r", 1), "t p", "SELECT 'S' t, CAST(0.0625 AS DOUBLE) p")
-add("memo_null", {"n": NAT}, 'f(X) := X*3 for n(X,_,_). $memo(f[X:$free]) = "null". g += f(_).', ("g", 0), "g", "SELECT CAST(sum(n_nationkey * 3) AS BIGINT) g FROM nation")
-add("memo_unk", {"p": PART}, 'f(N) := 1 for N <= 2. f(N) := f(N-1) + f(N-2) for N > 2. $memo(f[N:$ground]) = "unk". $priority(f[N]) = N. r += f(S) for _ = p(_,_,S), S < 12.', ("r", 0), "v", "WITH RECURSIVE f AS (SELECT 1 n, 1 a, 1 b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 12) SELECT CAST(sum(a) AS BIGINT) v FROM part JOIN f ON n = p_size WHERE p_size < 12")
+add("rec_viterbi", {}, 'seen(0)="walk". seen(1)="shop". seen(2)="clean". start("rain")=0.5. start("sun")=0.5. turn("rain","rain")=0.75. turn("rain","sun")=0.25. turn("sun","rain")=0.5. turn("sun","sun")=0.5. does("rain","walk")=0.125. does("rain","shop")=0.5. does("rain","clean")=0.375. does("sun","walk")=0.5. does("sun","shop")=0.25. does("sun","clean")=0.25. path(0,S) max= start(S)*does(S,seen(0)) arg [S]. path(I,T) max= path(I-1,S)*turn(S,T)*does(T,seen(I)) for range(1,3,I) arg [T|$arg(path(I-1,S))]. $memo(path[I:$free,S:$free]) = "null". r(S) = P for P = $value(path(2,S)).', ("r", 1), "s p", "WITH RECURSIVE turns(a, b, p) AS (VALUES ('rain','rain',0.75),('rain','sun',0.25),('sun','rain',0.5),('sun','sun',0.5)), does(s, o, p) AS (VALUES ('rain','walk',0.125),('rain','shop',0.5),('rain','clean',0.375),('sun','walk',0.5),('sun','shop',0.25),('sun','clean',0.25)), seen(i, o) AS (VALUES (0,'walk'),(1,'shop'),(2,'clean')), paths AS (SELECT 0 i, s, CAST(0.5 * p AS DOUBLE) p FROM does WHERE o = 'walk' UNION ALL SELECT q.i + 1, b, CAST(q.p * t.p * d.p AS DOUBLE) FROM paths q JOIN turns t ON t.a = q.s JOIN seen n ON n.i = q.i + 1 JOIN does d ON d.s = t.b AND d.o = n.o) SELECT s, max(p) p FROM paths WHERE i = 2 GROUP BY s")
+add("memo_null", {"o": ORD}, 'spent(C) += P for P = o(_,C,_). $memo(spent[C:$free]) = "null". top max= spent(_). n += 1 for X = spent(_), X > 1000000. r(1) = top. r(2) = n * 1.0.', ("r", 1), "k v", "WITH s AS (SELECT sum(o_totalprice) p FROM orders GROUP BY o_custkey) SELECT CAST(1 AS BIGINT) k, round(max(p), 2) v FROM s UNION ALL SELECT 2, CAST(count(*) AS DOUBLE) FROM s WHERE p > 1000000 HAVING count(*) > 0", 2)
+add("memo_unk", {"p": PART}, 'stairs(N) := 1 for N < 1. stairs(N) := stairs(N-1) + stairs(N-3) for N >= 1. $memo(stairs[N:$ground]) = "unk". $priority(stairs[N]) = N. r(S) = stairs(S) for _ = p(_,_,S).', ("r", 1), "s v", "WITH RECURSIVE f AS (SELECT 0 n, CAST(1 AS BIGINT) a, CAST(1 AS BIGINT) b, CAST(1 AS BIGINT) c UNION ALL SELECT n + 1, a + c, a, b FROM f WHERE n < 60) SELECT DISTINCT CAST(p_size AS BIGINT) s, a v FROM part JOIN f ON n = p_size")
 
 # Objects, macros, higher order -------------------------------------------------------------------
 add("obj_frame_method", {"li": LI}, "shop = { qty(S) += Q for Q = li(_,_,S,_,_). best max= Q for Q = $self.qty(_). }. r(S) = Q for Q = shop.qty(S).", ("r", 1), "s q", "SELECT l_suppkey s, sum(l_quantity) q FROM lineitem GROUP BY 1")
 add("obj_inherit", {"n": NAT}, "a = { z += K for n(K,_,0). }. b = new a { z += K for n(K,_,1). }. r(1) = a.z. r(2) = b.z.", ("r", 1), "k z", "SELECT CAST(1 AS BIGINT) k, CAST(sum(n_nationkey) AS BIGINT) z FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 2, CAST(sum(n_nationkey) AS BIGINT) FROM nation WHERE n_regionkey < 2")
-add("obj_matrix_mul", {}, "mat(M) = { elem(X,Y) = M.elem(X,Y). mul(O) = mult($self, O). }. mult(A,B) = mat { elem(X,Y) += A.elem(X,Z) * B.elem(Z,Y). }. a = mat { elem(0,0) = 1. elem(0,1) = 2. elem(1,0) = 3. elem(1,1) = 4. }. p = a.mul(a). r(X,Y) = p.elem(X,Y).", ("r", 2), "x y v", "SELECT CAST(x AS BIGINT) x, CAST(y AS BIGINT) y, CAST(v AS BIGINT) v FROM (VALUES (0,0,7),(0,1,10),(1,0,15),(1,1,22)) t(x,y,v)")
+add("obj_method_chain", {}, "rect(W,H) = { area = W * H. side(N) = rect(W * N, H + N). }. box(1) = rect(3,4). box(2) = rect(3,4).side(2). box(3) = box(2).side(3). r(N) = box(N).area.", ("r", 1), "n a", "SELECT CAST(n AS BIGINT) n, CAST(a AS BIGINT) a FROM (VALUES (1, 12), (2, 36), (3, 162)) t(n, a)")
 add("call_indirect", {"n": NAT}, "plus(A,B) = A + B. r(K) = V for n(K,_,R), F = &plus(100), V = F(R).", ("r", 1), "k v", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(100 + n_regionkey AS BIGINT) v FROM nation")
 add("macro_expand", {"n": NAT}, ":- macro twice/1.\ntwice(X) = `(`X + `X). r(K) = twice(R + 1) for n(K,_,R).", ("r", 1), "k v", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(2 * (n_regionkey + 1) AS BIGINT) v FROM nation")
-add("reflect_term", {}, 't(1) = &foo(7, 8). t(2) = &bar(9). r(K, N, A) :- $reflect(t(K), N, A, _).', ("r", 3), "k n a", "SELECT CAST(k AS BIGINT) k, n, CAST(a AS BIGINT) a FROM (VALUES (1,'foo',2),(2,'bar',1)) t(k,n,a)")
-add("higher_order_map", {}, "map(F,[]) = []. map(F,[X|R]) = [F(X) | map(F,R)]. l = map(((X) += X * X), [1,2,3,4]). r(I) :- in_list(I, l).", ("r", 1), "i", "SELECT CAST(i AS BIGINT) i FROM (VALUES (1),(4),(9),(16)) t(i)")
-add("dispose_quote", {}, ":- dispose pair(&,&).\npair(A,B) = &p(A,B). r(N) :- pair(foo(1), bar(2)) = &p(&foo(N), _).", ("r", 1), "n", "SELECT CAST(1 AS BIGINT) n")
+add("reflect_term", {}, 'gear(1) = &wheel(20, "steel", 3). gear(2) = &belt(90). r(K, N, A) :- $reflect(gear(K), N, A, _).', ("r", 3), "k n a", "SELECT CAST(k AS BIGINT) k, n, CAST(a AS BIGINT) a FROM (VALUES (1,'wheel',3),(2,'belt',1)) t(k,n,a)")
+add("higher_order_fold", {}, "fold(F, Z, []) = Z. fold(F, Z, [X | R]) = F(X, fold(F, Z, R)). r(1) = fold(((A, B) += A * 2 + B), 0, [3, 4, 5]). r(2) = fold(((A, B) max= A ; B), 0, [3, 9, 5]).", ("r", 1), "i v", "SELECT CAST(i AS BIGINT) i, CAST(v AS BIGINT) v FROM (VALUES (1, 24), (2, 9)) t(i, v)")
+add("dispose_quote", {}, ":- dispose logged(&,*).\nlogged(What, When) = &entry(What, When). r(N, T) :- logged(door(7), 3 + 5) = &entry(&door(N), T).", ("r", 2), "n t", "SELECT CAST(7 AS BIGINT) n, CAST(8 AS BIGINT) t")
 add("udf_python", {"s": SUPP}, "r(K) = tax_band(B, 3) for B = s(K,_), B > 0.", ("r", 1), "k t", "SELECT s_suppkey k, CAST(CAST(floor(s_acctbal * 3) AS BIGINT) % 7 AS BIGINT) t FROM supplier WHERE s_acctbal > 0")
 
 
@@ -218,8 +225,8 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.relation("r", 2).select(F.col("a0").alias("k"), F.col("a1").alias("m"))
 
 
-QUERIES: dict[str, Query] = {name: e.run for name, e in ENTRIES.items()} | {"memo_incremental": incremental, "csv_roundtrip": csv_roundtrip}
+QUERIES: dict[str, Query] = {name: e.run for name, e in ENTRIES.items()} | {"memo_incremental": incremental, "csv_roundtrip": csv_roundtrip} | host_queries.QUERIES
 ORACLE_SQL: dict[str, str] = {name: e.sql for name, e in ENTRIES.items() if e.sql} | {
     "memo_incremental": "SELECT event_type, CAST(sum(event_id) AS BIGINT) s FROM events GROUP BY 1",
     "csv_roundtrip": "SELECT CAST(n_nationkey AS VARCHAR) k, n_name m FROM nation",
-}
+} | host_queries.ORACLE_SQL

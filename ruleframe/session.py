@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
-from ruleframe.functions.scalar import BUILTINS, FREE
+from ruleframe.functions.scalar import BUILTINS, FREE, hash_unit
 from ruleframe.operators.aggregators import AGGREGATORS
 from ruleframe.plans.compile import Compiler, called, widened
 from ruleframe.plans.local import LISTING_ROUNDS, MOST_ROUNDS, Evaluator, Slot, fill, ground, resolve, with_deep_stack
@@ -19,7 +19,10 @@ from ruleframe.plans.parser import parse, parse_expression
 from ruleframe.plans.rules import Goal, Normaliser, Part, Rule, V, rules_of, variables
 from ruleframe.plans.terms import AssertionFailed, FrozenMap, Handle, Keyed, Opaque, RuleError, SyntaxProblem, SystemTermError, Term, UnsafeRuleError, cons, is_list, show, to_host, to_value, uncons
 
-SYSTEM_NAMES = {name for name, _ in BUILTINS} | {"is_defined"}
+#: Rule files that any program can import by name.
+LIBRARY = Path(__file__).parent / "library"
+MEMO_LINES = 1000
+SYSTEM_NAMES = {name for name, _ in BUILTINS} | {"is_defined", "random"}
 
 
 @dataclass
@@ -108,7 +111,45 @@ class Session:
         self.to_value, self.to_host = self._in, self._out
         self.functions["$command_line_args", 0] = lambda out: [(cons(self.arguments),)]
         self.functions["$read_csv", 1] = self._read_csv
-        self.functions["$random_seed", 0] = lambda out: [(0,)]
+        self.agenda: dict[tuple, Functor] = {}
+        self.seed = 0
+        self.functions["$random_seed", 0] = lambda out: [(self.seed,)]
+        self.functions["random", 1] = self._random
+        self.functions["random", 3] = self._random
+
+    # Memoised functors ------------------------------------------------------------
+
+    def run_agenda(self) -> list[str]:
+        """Compute what is to be kept in full (``"null"``) and is out of date, the
+        highest priority first; the names in the order of their turn."""
+        done = []
+        for f in sorted(self.agenda.values(), key=lambda f: (-self.rank(f), f.key)):
+            if self.spark is not None and self.compiler.distributed(f):
+                with_deep_stack(lambda f=f: self.compiler.relation(f))
+            else:
+                f.rows, f.listable = self.local_answers(f), True
+            done.append(f"{f.name}/{f.arity}")
+        self.agenda.clear()
+        return done
+
+    @staticmethod
+    def rank(functor: Functor) -> float:
+        """A constant ``$priority``; one that depends on the arguments counts as 0."""
+        p = functor.priority
+        sign = -1 if p is not None and p.name == "$neg" else 1
+        p = p[0] if sign < 0 else p
+        return sign * p[0] if p is not None and p.name == "$constant" and isinstance(p[0], (int, float)) else 0
+
+    def memo_table(self, name: str, arity: int, file: str = "main") -> list[str]:
+        """What is kept of a functor at the moment, as lines of text."""
+        f = self.functor(name, arity, file)
+        if f is None:
+            return [f"{name}/{arity} is not defined"]
+        if self.spark is not None and f.key in self.compiler.frames:
+            rows = [tuple(map(self.to_value, r)) for r in self.compiler.frames[f.key].limit(MEMO_LINES).collect()]
+        else:
+            rows = [(*row, value) for (key, _), found in self.evaluator.tables.items() if key == f.key for row, value in found]
+        return sorted({f"{name}({', '.join(map(show, r[:arity]))}) = {show(r[arity])}" for r in rows})
 
     # Names --------------------------------------------------------------------
 
@@ -126,6 +167,8 @@ class Session:
         self._compiler = None
         for f in self.functors.values():
             f.listable = None
+            if f.memo == "null" and f.rules:
+                self.agenda[f.key] = f
 
     @property
     def compiler(self) -> Compiler:
@@ -135,6 +178,15 @@ class Session:
             self._compiler = Compiler(self, self.spark)
         return self._compiler
 
+    def __getstate__(self) -> dict[str, Any]:
+        """What tasks need to evaluate rules over values: no session, frames or results."""
+        kept = {k: replace(f, frame=None, rows=[], listable=None) for k, f in self.functors.items()}
+        return {**self.__dict__, "spark": None, "udfs": {}, "functors": kept, "evaluator": None, "_compiler": None, "answers": [], "printed": [], "agenda": {}}
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        self.__dict__.update(state)
+        self.evaluator = Evaluator(self)
+
     # Values -------------------------------------------------------------------
 
     def _in(self, x: Any) -> Any:
@@ -170,6 +222,14 @@ class Session:
                 rows = list(csv.reader(f))
         return [(path, self._in(rows))]
 
+    def _random(self, key: Any, *rest: Any) -> list[tuple] | None:
+        """``random(key)`` in [0, 1), ``random(key, low, high)``; the same for equal keys and ``seed``."""
+        *bounds, _ = rest
+        if key is FREE or FREE in bounds:
+            return None
+        low, high = bounds or (0.0, 1.0)
+        return [(key, *bounds, low + (high - low) * hash_unit(key, self.seed))]
+
     # Registration ---------------------------------------------------------------
 
     def register(self, name: str, df: DataFrame, key: list[str] | None = None, value: str | None = None, file: str = "main") -> Functor:
@@ -182,11 +242,12 @@ class Session:
         self.changed()
         return functor
 
-    def define_function(self, name: str, arity: int | None = None, returns: str | None = None) -> Callable:
+    def define_function(self, name: str, arity: int | None = None, returns: str | None = None, batch: bool = False) -> Callable:
         """Decorator: a pure host function, called when all arguments are known.
 
         ``returns`` is the type of the column where the function is used on
-        DataFrames; it runs there in Arrow batches.
+        DataFrames; it runs there in Arrow batches.  With ``batch`` the function
+        takes and returns whole columns (pandas Series) instead of single values.
         """
 
         def add(f: Callable) -> Callable:
@@ -194,11 +255,17 @@ class Session:
 
             def run(*args: Any) -> Any:
                 *given, _ = args
-                return None if any(a is FREE for a in given) else [(*given, self._in(f(*map(self._out, given))))]
+                if any(a is FREE for a in given):
+                    return None
+                if batch:
+                    import pandas as pd
+
+                    return [(*given, self._in(f(*(pd.Series([self._out(a)]) for a in given)).tolist()[0]))]
+                return [(*given, self._in(f(*map(self._out, given))))]
 
             self.functions[name, n] = run
             if returns:
-                self.udfs[name, n] = F.udf(f, returns, useArrow=True)
+                self.udfs[name, n] = F.pandas_udf(f, returns) if batch else F.udf(lambda *args: f(*map(_whole, args)), returns, useArrow=True)
             self.changed()
             return f
 
@@ -277,6 +344,7 @@ class Session:
                 functor.memo = mode
             else:
                 functor.priority = value
+            self.changed()
             return
         name, trees = (head[0], head.args[1:]) if head.name == "$struct" else (head.name, head.args)
         key = (name, len(trees))
@@ -284,7 +352,7 @@ class Session:
             self.macros.setdefault(key, []).append((trees, tree[2][0][0]))
             self.changed()
             return
-        if (name in SYSTEM_NAMES and (key in BUILTINS or name == "is_defined")) or self.system.get(key, file) != file:
+        if (name in SYSTEM_NAMES and (key in BUILTINS or name in ("is_defined", "random"))) or self.system.get(key, file) != file:
             raise SystemTermError(f"{name}/{len(trees)} is a system defined term")
         made = rules_of(tree, file, self.normaliser(params))
         functor = self.functors.setdefault((file, *key), Functor(file, *key))
@@ -338,6 +406,8 @@ class Session:
 
     def ask(self, tree: Term, file: str, params: tuple) -> None:
         self._file_now = file
+        if self.agenda:
+            self.run_agenda()
         inner = self.normaliser(params)
         value = inner.value(tree[0])
         part = Part(inner.goals, value)
@@ -419,10 +489,14 @@ class Session:
         plain = [(*r[:-1], r[-1].value, r[-1].key) if isinstance(r[-1], Keyed) else (*r, None) if keyed else r for r in rows]
         names = [*(f"a{i}" for i in range(arity)), "v", *(["k"] if keyed else [])]
         kinds = [common_type([r[i] for r in plain]) for i in range(len(names))]
-        data = [tuple(encoded(x, t) for x, t in zip(r, kinds, strict=True)) for r in plain]
+        data = self.encoded_rows(plain, kinds)
         schema = StructType([StructField(n, t, True) for n, t in zip(names, kinds, strict=True)])
         return self.spark.createDataFrame(data, schema)
 
+    @staticmethod
+    def encoded_rows(rows: list[tuple], kinds: list[DataType]) -> list[tuple]:
+        return [tuple(encoded(x, t) for x, t in zip(r, kinds, strict=True)) for r in rows]
+
     # Pragmas ------------------------------------------------------------------------
 
     def pragma(self, name: str, parts: tuple, file: str) -> None:
@@ -435,6 +509,8 @@ class Session:
             folder = self._folder.get(file, Path.cwd())
             path = next((q for q in (folder / target, folder / f"{target}.rules") if q.exists()), None)
             path = path or next((q for q in folder.glob(f"{target}.*") if q.is_file()), None)
+            # What is nowhere near the file may be one of the libraries that come along.
+            path = path or next((q for q in (LIBRARY / f"{target}.rules",) if q.exists()), None)
             if path is None:
                 raise RuleError(f"{target} is not found")
             self.run_file(path)
@@ -461,7 +537,14 @@ class Session:
             from ruleframe.sources.csvio import export_csv
 
             export_csv(self, *pairs[0], next(p for p in parts if isinstance(p, str) and p != ","), file)
-        elif name in ("run_agenda", "clear_agenda", "print_memo_table", "set_recursion_limit", "use_optimized_rexprs"):
+        elif name == "run_agenda":
+            self.run_agenda()
+        elif name == "clear_agenda":
+            self.agenda.clear()
+        elif name == "print_memo_table":
+            for n, a in pairs:
+                self.printed += self.memo_table(n, a, file)
+        elif name in ("set_recursion_limit", "use_optimized_rexprs"):
             return
         elif name in self.pragmas:
             self.pragmas[name](self, parts, file)
@@ -469,6 +552,13 @@ class Session:
             raise RuleError(f"unknown pragma {name}")
 
 
+def _whole(x: Any) -> Any:
+    """Whole numbers of 38 digits as Python's."""
+    from decimal import Decimal
+
+    return int(x) if isinstance(x, Decimal) and x == x.to_integral_value() else x
+
+
 def _match_tree(pattern: Term, tree: Term, found: dict[str, Term]) -> bool:
     """A macro's pattern: variables take trees, back-quoted parts match as they are."""
     if pattern.name == "$variable":

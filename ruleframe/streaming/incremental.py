@@ -3,8 +3,10 @@
 Partial results of the idempotent and of the additive aggregators merge: a
 batch is aggregated alone and merged with the state by key, so the old rows are
 never read again.  The state is a table that is replaced as a whole, version by
-version; a batch that is replayed after a failure finds its version and is not
-added twice.
+version.  A version counts once its commit marker is there, and the newest such
+one on disk is where a new object (a restarted stream) goes on; a batch that is
+replayed after a failure finds its version and is not added twice.  The last two
+versions are kept.
 """
 
 from __future__ import annotations
@@ -47,11 +49,24 @@ class IncrementalRelation:
     keys: list[str]
     value: str
     aggregator: str
-    version: int = field(default=-1)
+    version: int = field(default=-1, init=False)
+
+    def __post_init__(self) -> None:
+        self.version = max(self._versions(), default=-1)
 
     def _at(self, version: int) -> str:
         return f"{self.path}/version={version}"
 
+    def _files(self, pattern: str) -> tuple:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return system, [f.getPath() for f in system.globStatus(where) or ()]
+
+    def _versions(self) -> list[int]:
+        """Versions with a commit marker."""
+        return sorted(int(p.getParent().getName().split("=")[1]) for p in self._files("version=*/_SUCCESS")[1])
+
     def apply(self, batch: DataFrame, version: int | None = None) -> None:
         """Merge a batch; a version that is already there is left as it is."""
         version = self.version + 1 if version is None else version
@@ -61,8 +76,12 @@ class IncrementalRelation:
         rows = batch.groupBy(*self.keys).agg(*(f(F.col(self.value)).alias(n) for n, f in m.partial.items()))
         if self.version >= 0:
             rows = self.spark.read.parquet(self._at(self.version)).unionByName(rows).groupBy(*self.keys).agg(*(f(n).alias(n) for n, f in m.combine.items()))
-        rows.write.mode("overwrite").parquet(self._at(version))
-        self.version = version
+        rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._at(version))
+        before, self.version = self.version, version
+        system, found = self._files("version=*")
+        for p in found:
+            if int(p.getName().split("=")[1]) < before:
+                system.delete(p, True)
 
     def result(self) -> DataFrame:
         if self.version < 0:
