@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space of the contracts: space and the range tab..carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
+#: Most bytes of an Arrow batch between Spark and a Python worker.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Bits of the array that tells which rows may have a partner, at most.
+ID_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (single-process tests) a temporary folder is made and kept in the session.
+    and all runs in one process (tests) a temporary folder is made and kept in
+    the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.conf.get("ruleframe.shared.dir", None)
     if not made:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = "file://" + tempfile.mkdtemp(prefix="ruleframe-shared-")
         spark.conf.set("ruleframe.shared.dir", made)
         spark.sparkContext.setCheckpointDir(made)
@@ -48,6 +59,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with a bound on the memory of its tasks.
+
+    Batches of the session get at most ``BATCH_BYTES``.  Workers live on between
+    tasks, so they give free memory back to the system when a task ends; else
+    each would keep the most that any of its tasks took.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) != str(BATCH_BYTES):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def whole(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(source)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(whole, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,3 +112,29 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def batches(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := rows[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)
+
+
+def likely(source: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """Rows of ``source`` whose ``name`` may be in ``ids``; none that is goes missing.
+
+    A bit array over hashes of the ids, of at most ``2 ** ID_BITS`` bits, goes
+    to the tasks, so rows without a partner need not be shuffled for a join.
+    """
+    spark = source.sparkSession
+    bits = max(10, min(ID_BITS, int(ids.count() * 16).bit_length()))
+    place = F.xxhash64(name).bitwiseAND(F.lit((1 << bits) - 1))
+    cells = ids.select(F.shiftright(place, 3).alias("byte"), F.pow(F.lit(2.0), place.bitwiseAND(F.lit(7))).cast("int").alias("bit"))
+    got = cells.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()
+    array = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    array[got.column("byte").to_numpy()] = got.column("bit").to_numpy().astype(np.uint8)
+    shared = spark.sparkContext.broadcast(array)
+    names = source.columns
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at = batch.column(len(names)).to_numpy()
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep.astype(bool)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.withColumn("__place", place).transform(mapped, run, schema)
