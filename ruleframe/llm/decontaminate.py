@@ -15,16 +15,24 @@ Plan
    are joined first.
 
 The items are taken in blocks of at most ``BLOCK_WORDS`` words, so what goes to
-the executors has a fixed bound; each block is one more pass.
-
-Defined results: null and empty texts match nothing.  Items with fewer than
-``MIN_WORDS`` words are no evidence and are left out, as are null items.  Equal
-items and items of equal id are reported alike.  Rows with a null id are
-matched like others.
+the executors has a fixed bound; each block is one more pass.  With several
+blocks the rows get numbers in a stored table, and what the passes find is put
+together by that number, so rows stay apart whatever their ids.
+
+Words of scripts that put no spaces between them (Han, kana, Thai, Lao, Burmese,
+Khmer) are their characters, so their items have as many words as characters.
+
+Defined results: null and empty texts match nothing, and neither do items
+without words.  Items of fewer than five words have no error budget and must be
+found word by word.  Equal items and items of equal id are reported alike.
+Rows with a null id and repeated rows are matched like others.  Only id and
+text are read, so other columns, whatever their names, play no part; without
+rows or without items nothing matches.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -33,18 +41,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ruleframe.llm.common import mix64
+from ruleframe.llm.common import mapped, mix64, stored
 
 ERROR_RATE = 0.2
-MIN_WORDS = 5
 BLOCK_WORDS = 1_000_000
+PART_ROWS = 200
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+# Unicode ranges of scripts without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    text = text or ""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -164,7 +178,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
     size = 0
     for row in benchmark.select(item_id, text).where(F.col(text).isNotNull()).distinct().orderBy(item_id, text).toLocalIterator():
         words = words_of(row[1])
-        if len(words) < MIN_WORDS:
+        if not words:
             continue
         if block and size + len(words) > most:
             yield block
@@ -178,49 +192,52 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """One row per row of ``docs`` and block of items: ``<row_id>, matches``.
+    """One row per row of ``docs``: ``<row_id>, matches``.
 
-    ``matches`` is an array of (item_id, distance, first_word, end_word).
+    ``matches`` is an array of (item_id, distance, first_word, end_word), in
+    that order.
     """
-    kind = docs.schema[row_id].dataType.simpleString()
-    item_kind = benchmark.schema[item_id].dataType.simpleString()
-    schema = f"`{row_id}` {kind}, matches array<struct<item_id:{item_kind},distance:bigint,first_word:bigint,end_word:bigint>>"
     spark = docs.sparkSession
+    item_type = benchmark.schema[item_id].dataType
+    kinds = {"item_id": item_type.simpleString(), "distance": "bigint", "first_word": "bigint", "end_word": "bigint"}
+    matches = f"array<struct<{','.join(f'{n}:{k}' for n, k in kinds.items())}>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), *((n, pa.int64()) for n in list(kinds)[1:])]))
 
-    def matched(block: list[tuple[int, list[bytes]]]) -> DataFrame:
+    def matched(rows: DataFrame, block: list[tuple[int, list[bytes]]], every: bool) -> DataFrame:
+        """Matches of the rows (key, text) with the items of a block; of ``every`` row or of those with any."""
         shared = spark.sparkContext.broadcast(block)
+        key = rows.columns[0]
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
             for batch in source:
-                for s in range(0, batch.num_rows, 200):
-                    part = batch.slice(s, 200)
+                for s in range(0, batch.num_rows, PART_ROWS):
+                    part = batch.slice(s, PART_ROWS)
                     found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                    for doc, item, distance, first, end in matcher.matches(part.column(1).to_pylist()):
-                        found[doc].append({"item_id": item, "distance": distance, "first_word": first, "end_word": end})
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.struct([("item_id", _arrow(item_kind)), *((n, pa.int64()) for n in ("distance", "first_word", "end_word"))])))], names=[row_id, "matches"])
-
-        return docs.select(row_id, text).mapInArrow(run, schema)
-
-    parts = [matched(b) for b in _blocks(benchmark, item_id, item_text, block_words)]
-    if not parts:
-        return docs.select(row_id, F.expr(f"cast(array() as {schema.split('matches ')[1]})").alias("matches"))
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+                    for doc, *match in matcher.matches(part.column(1).to_pylist()):
+                        found[doc].append(dict(zip(kinds, match, strict=True)))
+                    out = pa.RecordBatch.from_arrays([part.column(0), pa.array(found, arrow)], names=[key, "matches"])
+                    yield out if every else out.filter(pa.array([bool(f) for f in found]))
+
+        return rows.transform(mapped, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, matches {matches}")
+
+    rows = docs.select(row_id, text)
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return rows.select(row_id, F.expr(f"cast(array() as {matches})").alias("matches"))
+    if second is None:
+        return matched(rows, first, every=True).select(row_id, F.array_sort("matches").alias("matches"))
+    numbered = stored(rows.select(F.monotonically_increasing_id().alias("__row"), F.col(row_id).alias("__id"), F.col(text).alias("__text")), "numbered-rows")
+    parts = [stored(matched(numbered.select("__row", "__text"), b, every=False), "block-matches") for b in (first, second, *blocks)]
+    found = reduce(DataFrame.unionAll, parts).groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    joined = numbered.select("__row", "__id").join(found, "__row", "left")
+    return joined.select(F.col("__id").alias(row_id), F.coalesce("matches", F.expr(f"cast(array() as {matches})")).alias("matches"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", **options) -> DataFrame:
-    """``<row_id>, contaminated, n_items, items, min_distance`` per row.
-
-    With several blocks of items the rows of one id are put together; a row
-    given twice is then reported once.
-    """
+    """``<row_id>, contaminated, n_items, items, min_distance`` per row."""
     found = contamination(docs, benchmark, row_id=row_id, **options)
-    if sum(1 for _ in _blocks(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("block_words", BLOCK_WORDS))) > 1:
-        found = found.groupBy(row_id).agg(F.flatten(F.collect_list("matches")).alias("matches"))
     items = F.array_sort(F.array_distinct("matches.item_id"))
     return found.select(
         row_id,

@@ -35,7 +35,7 @@ def test_pieces_cover():
 def test_matches_brute_force(spark):
     rng = random.Random(8)
     word = lambda: f"v{rng.randrange(60)}"
-    items = [(i, " ".join(word() for _ in range(rng.randrange(3, 40)))) for i in range(30)]
+    items = [(i, " ".join(word() for _ in range(rng.choice((2, 4, rng.randrange(3, 40)))))) for i in range(30)]
     rows = []
     for d in range(120):
         words = [word() for _ in range(rng.randrange(0, 150))]
@@ -53,7 +53,7 @@ def test_matches_brute_force(spark):
     for d, t in rows:
         for i, it in items:
             p, w = dc.words_of(it), dc.words_of(t)
-            if len(p) >= dc.MIN_WORDS and w:
+            if p and w:
                 best = plain_distance(p, w)[0]
                 if best <= int(len(p) * dc.ERROR_RATE + 1e-9):
                     want.add((d, i, best))
@@ -72,7 +72,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "no id at all here"), (4, "no id at all here")], "item_id long, text string")
     got = dc.report(odd_docs, bench)
     assert got.count() == odd_docs.count()
-    assert [r.doc_id for r in got.where("contaminated").collect()] == [None]
+    # "one two" is an item of two words: exact matches only; repeated rows and the null id count each for itself.
+    want = [(4, [3]), (5, [3]), (5, [3]), (None, [4])]
+    found = lambda df: sorted(((r.doc_id, r["items"]) for r in df.where("contaminated").collect()), key=str)
+    assert found(got) == sorted(want, key=str)
+    blocks = dc.report(odd_docs, bench, block_words=2)
+    assert blocks.count() == odd_docs.count() and found(blocks) == sorted(want, key=str)
     assert dc.keep_clean(odd_docs, bench).columns == odd_docs.columns
     assert dc.report(no_docs, bench).count() == 0
     assert dc.report(odd_docs, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    docs = spark.createDataFrame([(1, "so a b c d it is"), (2, "a b x c d"), (3, "前文今天天气很好我们去公园后文"), (4, "今天天气好我们公园")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d"), (8, "今天天气很好我们去公园")], "item_id smallint, text string")
+    got = {r.doc_id: r["items"] for r in dc.report(docs, bench).where("contaminated").collect()}
+    assert got == {1: [7], 3: [8], 4: [8]}
+    assert dc.words_of("ab 天气c") == ["ab".encode(), "天".encode(), "气".encode(), b"c"]
