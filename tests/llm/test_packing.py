@@ -20,40 +20,88 @@ def check_layout(rows, capacities):
     return bins
 
 
-def exact_best_fit(lengths, capacities, cost):
-    """Piece by piece: bins as (capacity, used)."""
-    bins, left = [], sum(lengths)
-    for n in sorted(lengths, reverse=True):
-        fitting = [b for b in bins if b[0] - b[1] >= n]
-        if fitting:
-            best = min(fitting, key=lambda b: b[0] - b[1])
-        else:
-            best = [pk.cheapest(n, left, capacities, cost), 0]
-            bins.append(best)
-        best[1] += n
-        left -= n
-    return sorted(tuple(b) for b in bins)
-
-
-@pytest.mark.parametrize("seed", range(12))
-def test_plan_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    capacities = (16, 32, 64)
-    lengths = [rng.randrange(1, 65) if rng.random() < 0.7 else 5 for _ in range(rng.randrange(1, 300))]
-    histogram = {n: lengths.count(n) for n in set(lengths)}
-    groups = pk.plan(histogram, capacities, 4)
-    got = sorted((g.capacity, g.used) for g in groups for _ in range(g.count))
-    # All lengths equal in room choose alike, so the bins agree up to ties.
-    want = exact_best_fit(lengths, capacities, 4)
-    assert sum(u for _, u in got) == sum(lengths)
-    assert abs(len(got) - len(want)) <= 1 + len(want) // 20
+def partitions(items):
+    """All ways to put the items into bins."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def least_cost(lengths, capacities):
+    """Of all ways to pack, by trying each."""
+    costs = [sum(pk.linear_cost(min(c for c in capacities if c >= sum(b))) for b in bins) for bins in partitions(lengths) if all(sum(b) <= max(capacities) for b in bins)]
+    return min(costs)
+
+
+def check_plan(histogram, groups, capacities):
     ranks = {}
     for g in groups:
+        assert g.used == sum(n * per for n, _, per in g.items) and g.capacity == min(c for c in capacities if c >= g.used)
         for n, rank, per in g.items:
             ranks.setdefault(n, []).extend(range(rank, rank + per * g.count))
     assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in histogram.items()}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_plan_is_near_the_least_cost(seed):
+    rng = random.Random(seed)
+    capacities = (40, 70, 100)
+    lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 8))]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    groups = pk.plan(histogram, capacities)
+    check_plan(histogram, groups, capacities)
+    assert sum(pk.linear_cost(g.capacity) * g.count for g in groups) <= 1.35 * least_cost(lengths, capacities)
+
+
+def test_near_the_least_cost_on_the_whole():
+    rng = random.Random(77)
+    got = best = 0
+    for _ in range(60):
+        lengths = [rng.randrange(1, 101) for _ in range(7)]
+        groups = pk.plan({n: lengths.count(n) for n in set(lengths)}, (40, 70, 100))
+        got += sum(pk.linear_cost(g.capacity) * g.count for g in groups)
+        best += least_cost(lengths, (40, 70, 100))
+    assert got <= 1.06 * best
+
+
+def largest_only(histogram, capacities):
+    """Padding of best-fit decreasing into bins of the largest size, shrunk at the end."""
+    rooms = []
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            fitting = [i for i, r in enumerate(rooms) if r >= n]
+            if fitting:
+                rooms[min(fitting, key=lambda i: rooms[i])] -= n
+            else:
+                rooms.append(max(capacities) - n)
+    return sum(min(c for c in capacities if c >= max(capacities) - r) - (max(capacities) - r) for r in rooms)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sizes_are_chosen_together(seed):
+    """Less padding than the largest size alone with shrinking, on mixed lengths."""
+    rng = random.Random(seed)
+    capacities = (512, 768, 1280, 2048)
+    lengths = [min(2048, max(1, int(rng.lognormvariate(6.2, 0.7)))) for _ in range(1200)] + [rng.choice((500, 700, 760, 1250, 1270)) for _ in range(800)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    groups = pk.plan(histogram, capacities)
+    check_plan(histogram, groups, capacities)
+    padding = sum((g.capacity - g.used) * g.count for g in groups)
+    assert padding < largest_only(histogram, capacities)
+    assert len({g.capacity for g in groups}) > 1
+
+
+def test_a_given_cost_decides():
+    histogram = {300: 64, 20: 100}
+    dear = pk.plan(histogram, (512, 2048), lambda c: c * c)
+    assert {g.capacity for g in dear} == {512}
+    assert {g.capacity for g in pk.plan({300: 64}, (512, 2048))} == {2048}
+
+
 def test_pack_whole_texts(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" for _ in range(rng.choice((0, 3, 3, 3, 10, 40, 150, 700))))) for i in range(300)]
@@ -68,6 +116,21 @@ def test_pack_whole_texts(spark):
     assert units == {i: len(t.split()) for i, t in rows}
 
 
+def test_sequences_hold_every_word(spark):
+    rng = random.Random(9)
+    rows = [(i % 70, " \n".join(f"d{i}w{k}" for k in range(rng.choice((0, 2, 5, 30, 90))))) for i in range(80)] + [(None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pk.sequences(docs, capacities=(16, 48)).collect()
+    words = [w for r in got for w in r.sequence.split()]
+    assert sorted(w for w in words if w != pk.END) == sorted(w for _, t in rows for w in t.split())
+    for r in got:
+        assert len(r.sequence.split()) == r.bin_used <= r.bin_capacity
+    # The words of a piece stay together and in order.
+    for _, t in rows:
+        for a, b in zip(t.split()[:15], t.split()[1:15], strict=False):
+            assert any(f"{a} {b}" in r.sequence for r in got)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = pk.pack(odd_docs).collect()
     check_layout(got, pk.CAPACITIES)
