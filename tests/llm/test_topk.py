@@ -30,7 +30,7 @@ def test_matches_brute_force(spark):
     rows += [(1000 + i, [0.5] * 12) for i in range(300)]
     want = brute(rows, 5)
     assert run(spark, rows) == want
-    assert run(spark, rows, query_block=3) == want
+    assert run(spark, rows, wave_bytes=3 * 96) == want
 
 
 def test_odd_vectors(spark):
@@ -42,6 +42,16 @@ def test_odd_vectors(spark):
     assert run(spark, [(0, [1.0])]) == []
 
 
+def test_equal_vectors_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(i, [0.25, -0.5, 0.125]) for i in range(0, 700)]
+    rows += [(i, [rng.choice((-0.5, 0.5)) for _ in range(3)]) for i in range(700, 1000)]
+    rows += [(100, [0.5, 0.5, 0.5]), (100, [0.25, -0.5, 0.125]), (703, [0.5, 0.5, 0.5]), (703, [-0.5, 0.5, 0.5])]
+    got = run(spark, rows, wave_bytes=100)
+    want = brute([r for i, r in enumerate(rows) if r not in rows[:i] or r[0] % 100], 5)
+    assert got == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     v, q = np.floor(rng.normal(0, 300, (200, 8))), np.floor(rng.normal(0, 300, (20, 8)))
