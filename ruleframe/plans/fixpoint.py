@@ -16,7 +16,7 @@ import re
 import tempfile
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ruleframe.operators.aggregators import AGGREGATORS
 from ruleframe.plans.compile import Compiler, called, united
@@ -43,6 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables, each with one row a key, hold the same rows.
+
+    Counts and hashes are compared, so nothing is shuffled; maps have no hash.
+    """
+    if a.dtypes != b.dtypes:
+        return False
+    if any("map<" in kind for _, kind in a.dtypes):
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    first, second = (df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns)), F.bit_xor(F.xxhash64(*reversed(df.columns)))).first() for df in (a, b))
+    return tuple(first) == tuple(second)
+
+
 def cycle(compiler: Compiler, functor: Any) -> list[Any]:
     """The functors that call each other with this one."""
     keys = {functor.key} | {k for k in compiler.depends(functor) if functor.key in compiler.depends(compiler.session.functors[k])}
@@ -90,12 +103,15 @@ def solve(compiler: Compiler, functor: Any) -> dict[tuple, DataFrame]:
                     new[f.key] = checkpointed(compiler.combined(f.rules, compiler.contribution))
             settled = True
             for f in members:
-                changed = new[f.key] if new[f.key] is full[f.key] else new[f.key].exceptAll(full[f.key])
-                if new[f.key] is full[f.key] or changed.isEmpty():
+                if new[f.key] is full[f.key]:
                     delta[f.key] = None
+                elif incremental:
+                    changed = new[f.key].exceptAll(full[f.key])
+                    delta[f.key] = None if changed.isEmpty() else changed
+                    settled &= delta[f.key] is None
                 else:
-                    delta[f.key] = changed
-                    settled = False
+                    # Only whether anything changed matters here, not what.
+                    settled &= same_rows(new[f.key], full[f.key])
             full = new
             if settled:
                 return full
