@@ -50,7 +50,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> int:
+    """Delete the tables that ``stored`` has written in this application, but for ``keep``.
+
+    For use once their readers are done, as a result is read lazily.  Returns
+    the number of tables deleted.
+    """
+    kept = {getattr(df, "stored_path", None) for df in keep}
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in paths if p not in kept]
+    for p in gone:
+        discard_path(spark, p)
+    _written[spark.sparkContext.applicationId] = [p for p in paths if p in kept]
+    return len(gone)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        discard_path(df.sparkSession, df.stored_path)
+        _written[df.sparkSession.sparkContext.applicationId].remove(df.stored_path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -50,13 +50,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ruleframe.llm.common import likely, mapped, mix64, signed, stored
+from ruleframe.llm.common import discard, likely, mapped, mix64, signed, stored
 
 SHINGLE = 5
 COORDINATES = 32
 MISS = 2e-6
 SHORT_LIST = 16
 SET_ROWS = 500
+FEWEST_FILES, FILE_ROWS = 8, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -248,16 +249,23 @@ def components(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    def kept(df: DataFrame, name: str, rows: int) -> DataFrame:
+        """Stored in as many files as so many rows need: rounds on small tables stay cheap."""
+        return stored(df.coalesce(max(FEWEST_FILES, rows // FILE_ROWS)), name)
+
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    edges = kept(edges, "edges", links.count())
     before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours", before[0])
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        used = (edges, least)
+        edges = kept(small.union(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges", before[0])
+        discard(*used)
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
@@ -323,7 +331,7 @@ def near_duplicates(
                 so_far = stored(components(links), "components")
 
     members = classes.join(so_far, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
-    out = sketched.where("n > 0").select("id", "n", "h1", "h2").join(members, ["h1", "h2", "n"], "left").select("id", "n", "component")
+    out = sketched.where("n > 0").select("id", "n", "h1", "h2").join(members, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
     out = out.union(sketched.where("n = 0").select("id", "n", F.lit(None).cast(kind).alias("component")))
     leader = F.coalesce("component", "id")
     return out.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), leader.alias("component_id"), F.col("id").eqNullSafe(leader).alias("kept"))

@@ -52,6 +52,36 @@ def test_matches_brute_force(spark):
     assert rows_of(nd.near_duplicates(docs, short_list=3, percent=80)) == brute(rows, 80)
 
 
+def test_links_just_over_the_bound_are_found(spark):
+    """Pairs of similarity 0.85 to 0.9, none of which shares words with another pair, and groups of up to 60 such copies."""
+    rng = random.Random(11)
+    rows, linked = [], []
+    for pair in range(1200):
+        words = [f"p{pair}w{i}" for i in range(rng.randrange(60, 200))]
+        copies = 60 if pair % 300 == 0 else 1
+        first = len(rows)
+        rows.append(" ".join(words))
+        for _ in range(copies):
+            copy, x = list(words), set(nd.shingle_set(" ".join(words)).tolist())
+            while True:
+                changed = list(copy)
+                changed[rng.randrange(len(copy))] = f"q{rng.randrange(10**9)}"
+                y = set(nd.shingle_set(" ".join(changed)).tolist())
+                if 100 * len(x & y) < 85 * len(x | y):
+                    break
+                copy = changed
+            linked.append((first, len(rows)))
+            rows.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [p for p in linked if got[p[0]] != got[p[1]]] == []
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "X y  z"), ("c", "other words here now then"), (None, "x y z")], "doc_id string, text string")
+    got = sorted((tuple(r) for r in nd.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([("a", 1, "a", True), ("b", 1, "a", False), ("c", 1, "c", True), (None, 1, None, True)], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     n = 70
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(200, 201), (5, 5)], "a long, b long")
