@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ruleframe.llm import decontaminate, line_dedup, near_dup, packing, toxicity
-from ruleframe.llm.common import stored, table
+from ruleframe.llm.common import release, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,6 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What the stage wrote on its way is of no further use.
+        release(spark, keep=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
