@@ -10,13 +10,12 @@ Plan
 3. Each class gets an interpolated Kneser-Ney model of its words, byte by byte:
    raw counts at the highest order and at the start of a word, continuation
    counts (distinct left neighbours) below, and under them a distribution that
-   both classes share.  The counts of the larger class are scaled down to the
-   smaller, so that one discount asks both for the same evidence.  A rare or
-   unknown expression thus gets its probability from parts of words.
+   both classes share.  All counts of both classes are used as they are.  A rare
+   or unknown expression thus gets its probability from parts of words.
 4. A text is scored by the difference of the two log-likelihoods: the mean over
    all its words and the largest means over windows of words, normalised by
    length.  A logistic fit on the calibration rows (at most
-   ``CALIBRATION_ROWS``, those with the least hash of the id) maps them to a
+   ``CALIBRATION_ROWS``, those with a small hash of the id) maps them to a
    probability.
 
 All n-grams stay in stored tables.  The endings of the corpus (the last bytes,
@@ -31,7 +30,9 @@ sentence of an unspaced script) is learnt and scored as successive pieces, each
 of which counts as a word; none of its bytes is left out.  A null text counts as empty; an empty text has the features
 of no evidence.  A null id counts as the empty text for the split.  Of several
 labels of one id the largest counts.  Without training rows of both classes
-every score is the share of toxic rows (0 without rows).
+every score is the share of toxic rows (0 without rows).  Repeated rows are scored
+each for itself.  Only the named columns of texts and labels are read, so others,
+whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ruleframe.llm.common import mix64, signed, stored
+from ruleframe.llm.common import likely, mapped, mix64, signed, stored
 
 FOLDS = 5
 CALIBRATION_FOLD = 4
@@ -57,7 +58,6 @@ CACHED_WORDS = 500_000
 LISTED_WORDS = 100_000
 ROUND_WORDS = 20_000
 ROUND_ROWS = 500
-ID_BITS = 24
 WORD_BYTES = 64
 LATER = b"\x02"
 
@@ -168,31 +168,31 @@ def fit_model(labelled: DataFrame, text: str = "text", label: str = "toxic") ->
     context (the share that is left to the backoff); order 1 has the shared
     distribution and no contexts.
     """
-    words = labelled.select(text, label).mapInArrow(_count_words, "word binary, tox bigint, ord bigint")
+    words = labelled.select(text, label).transform(mapped, _count_words, "word binary, tox bigint, ord bigint")
     words = stored(words.groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")), "word-counts")
     n = words.agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord")).first()
     if not n.tox or not n.ord:
         return None
-    scale = {"tox": min(1.0, n.ord / n.tox), "ord": min(1.0, n.tox / n.ord)}
-    each = words.mapInArrow(_count_grams, GRAMS).groupBy("k", "gram", "context", "suffix", "start")
-    table = stored(each.agg(*(F.sum(F.col(c) * scale[c]).alias(c) for c in scale)), "gram-counts")
-    # Continuation counts: how many longer grams, well enough seen, end in this one.
-    left = table.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*(F.sum((F.col(c) > 0.5).cast("double")).alias(f"n_{c}") for c in scale))
+    both = ("tox", "ord")
+    each = words.transform(mapped, _count_grams, GRAMS).groupBy("k", "gram", "context", "suffix", "start")
+    table = stored(each.agg(*(F.sum(c).alias(c) for c in both)), "gram-counts")
+    # Continuation counts: how many longer grams end in this one.
+    left = table.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*(F.sum((F.col(c) > 0).cast("double")).alias(f"n_{c}") for c in both))
     counted = table.join(left, ["k", "gram"], "left").select(
         "k", "gram", "context",
-        *(F.when((F.col("k") == ORDER) | F.col("start"), F.col(c)).otherwise(F.coalesce(f"n_{c}", F.lit(0.0))).alias(c) for c in scale),
+        *(F.when((F.col("k") == ORDER) | F.col("start"), F.col(c)).otherwise(F.coalesce(f"n_{c}", F.lit(0.0))).alias(c) for c in both),
     )
     counted = stored(counted, "continuation-counts")
-    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in scale}
-    totals = counted.where("k > 1").groupBy("k", "context").agg(*(F.sum(c).alias(f"all_{c}") for c in scale), *(F.sum(kept[c]).alias(f"held_{c}") for c in scale))
+    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in both}
+    totals = counted.where("k > 1").groupBy("k", "context").agg(*(F.sum(c).alias(f"all_{c}") for c in both), *(F.sum(kept[c]).alias(f"held_{c}") for c in both))
     totals = stored(totals, "context-totals")
-    share = {c: F.when(F.col(f"all_{c}") > 0, kept[c] / F.col(f"all_{c}")).otherwise(0.0) for c in scale}
-    parts = counted.where("k > 1").join(totals, ["k", "context"]).select("k", "gram", *(share[c].alias(f"part_{c}") for c in scale))
+    share = {c: F.when(F.col(f"all_{c}") > 0, kept[c] / F.col(f"all_{c}")).otherwise(0.0) for c in both}
+    parts = counted.where("k > 1").join(totals, ["k", "context"]).select("k", "gram", *(share[c].alias(f"part_{c}") for c in both))
     low = counted.where("k = 1").withColumn("n", F.col("tox") + F.col("ord") + 0.5)
     shared = low.crossJoin(F.broadcast(low.agg(F.sum("n").alias("total")))).withColumn("p", F.col("n") / (F.col("total") + 128))
-    parts = parts.unionByName(shared.select("k", "gram", *(F.col("p").alias(f"part_{c}") for c in scale)))
-    left_over = {c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"held_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in scale}
-    return stored(parts, "gram-parts"), totals.select("k", "context", *(left_over[c].alias(f"back_{c}") for c in scale))
+    parts = parts.unionByName(shared.select("k", "gram", *(F.col("p").alias(f"part_{c}") for c in both)))
+    left_over = {c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"held_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in both}
+    return stored(parts, "gram-parts"), totals.select("k", "context", *(left_over[c].alias(f"back_{c}") for c in both))
 
 
 def endings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +261,7 @@ def _chain(byte: list[np.ndarray]) -> list[np.ndarray]:
 def ending_ratios(model: tuple[DataFrame, DataFrame], listed: DataFrame) -> DataFrame:
     """``ending, ratio``: log P(last byte | toxic) - log P(last byte | ordinary)."""
     parts, backs = model
-    wanted = listed.select("ending").mapInArrow(_wanted_grams, WANTED).groupBy("k", "gram").agg(*(F.max(c).alias(c) for c in ("context", "suffix", "ending")))
+    wanted = listed.select("ending").transform(mapped, _wanted_grams, WANTED).groupBy("k", "gram").agg(*(F.max(c).alias(c) for c in ("context", "suffix", "ending")))
     both = ("tox", "ord")
     known = stored(wanted.join(parts, ["k", "gram"], "left").join(backs, ["k", "context"], "left"), "wanted-grams")
     below = known.where("k = 1").select("k", "gram", "ending", *(F.coalesce(f"part_{c}", F.lit(1e-4)).alias(c) for c in both))
@@ -369,57 +369,55 @@ def _featured_alone(shared):
     return run
 
 
+def least_count(listed: DataFrame, bound: int) -> int:
+    """Least ``n`` that at most ``bound`` rows reach, from a histogram of at most 512 cells."""
+    cells = listed.groupBy(F.floor(F.log2("n") * 8).alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).collect()
+    least, rows = 1 << 62, 0
+    for c in sorted(cells, key=lambda c: -c.cell):
+        rows += c.rows
+        if rows > bound:
+            break
+        least = c.n
+    return least
+
+
+def at_most(rows: DataFrame, bound: int) -> DataFrame:
+    """``bound`` rows at most: those whose hash of the id (``h``) is under a share of its range.
+
+    The share leaves a margin of six deviations, so the limit is for odd hashes only.
+    """
+    total = rows.count()
+    if total <= bound:
+        return rows
+    share = max(0.0, (bound - 6 * bound**0.5) / total)
+    return rows.where(F.col("h") < int(-(1 << 63) + share * (1 << 64))).limit(bound)
+
+
 def text_features(source: DataFrame, model: tuple[DataFrame, DataFrame], shared_endings: int | None = None) -> DataFrame:
     """``id`` and features of every row of ``source`` (columns ``text, id``)."""
     spark = source.sparkSession
-    listed = stored(source.select("text").mapInArrow(_list_endings, "ending bigint, n bigint").groupBy("ending").agg(F.sum("n").alias("n")), "endings")
+    listed = stored(source.select("text").transform(mapped, _list_endings, "ending bigint, n bigint").groupBy("ending").agg(F.sum("n").alias("n")), "endings")
     ratios = ending_ratios(model, listed)
     bound = SHARED_ENDINGS if shared_endings is None else shared_endings
     whole = listed.count() <= bound
     if not whole:
         ratios = stored(ratios.join(listed, "ending"), "ending-ratios")
-        most = ratios.orderBy(F.desc("n"), "ending").limit(bound)
+        most = ratios.where(F.col("n") >= least_count(listed, bound))
     got = (ratios if whole else most).select("ending", "ratio").toArrow()
     order = np.argsort(got.column("ending").to_numpy())
     shared = spark.sparkContext.broadcast((got.column("ending").to_numpy()[order], got.column("ratio").to_numpy()[order]))
     kind = source.schema["id"].dataType.simpleString()
     columns = f"id {kind}" + "".join(f", {n} double" for n in NAMES)
     keyed = source.select("text", "id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
-    found = stored(keyed.mapInArrow(_featured(shared), columns.replace(",", ", text_key string,", 1) + ", lacking array<bigint>"), "toxicity-features")
+    found = stored(keyed.transform(mapped, _featured(shared), columns.replace(",", ", text_key string,", 1) + ", lacking array<bigint>"), "toxicity-features")
     if whole:
         return found.select("id", *NAMES)
     asked = found.where("lacking IS NOT NULL").select("text_key", F.explode("lacking").alias("ending")).distinct()
     own = stored(asked.join(ratios.select("ending", "ratio"), "ending").groupBy("text_key").agg(F.collect_list(F.struct("ending", "ratio")).alias("own")), "own-endings")
-    rest = likely(keyed, own.select("text_key"), "text_key").join(own, "text_key").select("text", "id", "own").mapInArrow(_featured_alone(shared), columns)
+    rest = likely(keyed, own.select("text_key"), "text_key").join(own, "text_key").select("text", "id", "own").transform(mapped, _featured_alone(shared), columns)
     return stored(found.where("lacking IS NULL").select("id", *NAMES).unionByName(rest), "all-features")
 
 
-def likely(source: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
-    """Rows of ``source`` whose ``name`` may be in ``ids``; none that is goes missing.
-
-    A bit array over hashes of the ids, of at most ``2 ** ID_BITS`` bits, goes
-    to the tasks, so rows without a partner need not be shuffled for a join.
-    """
-    spark = source.sparkSession
-    bits = max(10, min(ID_BITS, int(ids.count() * 16).bit_length()))
-    place = F.xxhash64(name).bitwiseAND(F.lit((1 << bits) - 1))
-    cells = ids.select(F.shiftright(place, 3).alias("byte"), F.pow(F.lit(2.0), place.bitwiseAND(F.lit(7))).cast("int").alias("bit"))
-    got = cells.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()
-    array = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    array[got.column("byte").to_numpy()] = got.column("bit").to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(array)
-    names = source.columns
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            at = batch.column(len(names)).to_numpy()
-            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep.astype(bool)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.withColumn("__place", place).mapInArrow(run, schema)
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``<row_id>, held_out, mean, peak8, peak40, score, predicted`` for every row of ``docs``."""
     known = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(F.max(label).alias("label"))
@@ -435,7 +433,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", row_
     else:
         found = text_features(source, model)
         held = found.join(known.where(fold(F.col("id")) == CALIBRATION_FOLD), "id").withColumn("h", F.xxhash64("id"))
-        rows = held.orderBy("h").limit(calibration_rows).select("label", *NAMES).toArrow()
+        rows = at_most(held, calibration_rows).select("label", *NAMES).toArrow()
         y = rows.column("label").to_numpy().astype(float)
         x = np.column_stack([rows.column(n).to_numpy() for n in NAMES])
         weights = [float(v) for v in logistic(x, y)] if 0 < y.sum() < len(y) else [0.0, *(4.0 for _ in NAMES)]

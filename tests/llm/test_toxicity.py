@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -93,6 +94,53 @@ def test_every_gram_counts_however_few_are_shared(spark):
         assert np.allclose(got, want, atol=1e-9), bound
 
 
+class PlainModel:
+    """Interpolated Kneser-Ney over byte strings, written down from the definition."""
+
+    def __init__(self, rows):
+        counts = [Counter(w for _, t, y in rows if y == c for w in set(tx.words_of(t))) for c in (0, 1)]
+        self.raw = [[Counter() for _ in range(tx.ORDER + 2)] for _ in (0, 1)]
+        for c in (0, 1):
+            for w, n in counts[c].items():
+                marked = b"\x01" + w
+                for at in range(1, len(marked)):
+                    for k in range(1, min(tx.ORDER, at + 1) + 1):
+                        self.raw[c][k][marked[at - k + 1 : at + 1]] += n
+
+    def value(self, c, g):
+        if len(g) == tx.ORDER or g[:1] == b"\x01":
+            return self.raw[c][len(g)][g]
+        return sum(1 for longer in self.raw[c][len(g) + 1] if longer[1:] == g)
+
+    def chance(self, c, g):
+        if len(g) == 1:
+            bytes_seen = {b for d in (0, 1) for b in self.raw[d][1]}
+            n = {b: self.value(0, b) + self.value(1, b) + 0.5 for b in bytes_seen}
+            return n[g] / (sum(n.values()) + 128) if g in n else 1e-4
+        here = {x: self.value(c, x) for x in self.raw[c][len(g)] if x[:-1] == g[:-1]}
+        total, shorter = sum(here.values()), self.chance(c, g[1:])
+        if not total:
+            return shorter
+        held = sum(max(v - tx.DISCOUNT, 0) for v in here.values())
+        return max(here.get(g, 0) - tx.DISCOUNT, 0) / total + (1 - held / total) * shorter
+
+    def ratio(self, word):
+        marked = b"\x01" + word
+        ends = [marked[max(0, at - tx.ORDER + 1) : at + 1] for at in range(1, len(marked))]
+        return sum(np.log(self.chance(1, g)) - np.log(self.chance(0, g)) for g in ends)
+
+
+def test_probabilities_equal_the_definition(spark):
+    rows = [(i, t, y) for i, (_, t, y) in enumerate(made(40, seed=6))]
+    plain = PlainModel(rows)
+    model = tx.fit_model(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    words = sorted({w for r in rows for w in tx.words_of(r[1])})[::3] + [b"vraxo", b"zq9", b"ban", b"b"]
+    source = spark.createDataFrame([(w.decode(), i) for i, w in enumerate(words)], "text string, id long")
+    got = {r.id: r["mean"] for r in tx.text_features(source, model).collect()}
+    for i, w in enumerate(words):
+        assert abs(got[i] - plain.ratio(w)) < 1e-8, w
+
+
 def test_long_words_count_whole(spark):
     rng = random.Random(5)
     word = "".join(rng.choice("abcdefgh") for _ in range(333))
