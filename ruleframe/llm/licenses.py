@@ -9,7 +9,7 @@ Plan
 3. In a window, words that are unique in both the text and the template are the
    anchors; the longest increasing subsequence of their places is kept, and the
    gaps between anchors are aligned in the same way.  A gap without anchors is
-   aligned by its longest common subsequence (small ones) or left open.
+   aligned by its longest common subsequence, in linear space.
 4. Coverage is the share of the template's words that are matched.  A match
    needs ``COVERAGE`` of the template and ``DENSITY`` of the text it spans, and
    the phrases that tell its license from others (``TELLING``) must be matched
@@ -21,7 +21,11 @@ One pass over whole texts, without shuffles; the templates are a fixed list.
 Defined results: null and empty texts have no licenses.  A license that occurs
 several times is reported each time.  A BSD notice of which only the words that
 all variants share is there is reported as ``BSD``.  Of the long license texts
-(GNU, Apache, Mozilla) the title lines are templates, not the bodies.
+(GNU, Apache, Mozilla) the title lines are templates, not the bodies.  Every
+row gives one row, so repeated rows and null ids stay as they are, and matches
+that tie go to the earlier place, then the name.  Only id and text are read, so
+other columns, whatever their names, play no part; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ruleframe.llm.common import mapped
+
 COVERAGE = 0.8
 DENSITY = 0.6
 SPREAD = 1.5
-GAP_CELLS = 4096
 
 # Public license notices.
 _GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
@@ -147,22 +152,37 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each prefix of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
 def _common(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """A longest common subsequence, by halving ``a``: memory grows with the lengths, not their product."""
+    shared = set(a) & set(b)
+    if not shared:
+        return []
+    if len(a) == 1 or len(b) == 1:
+        word = next(w for w in a if w in shared)
+        return [(a.index(word), b.index(word))]
+    number = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    xs, ys = (np.array([number[w] for w in side], dtype=np.int64) for side in (a, b))
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(xs), 0, len(ys))]
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        if a1 - a0 == 1:
+            out += [(a0, b0 + int(j)) for j in np.flatnonzero(ys[b0:b1] == xs[a0])[:1]]
+        elif a1 > a0 and b1 > b0:
+            mid = (a0 + a1) // 2
+            both = _row(xs[a0:mid], ys[b0:b1]) + _row(xs[mid:a1][::-1], ys[b0:b1][::-1])[::-1]
+            # Of equally long ones the one whose words come first in ``a``.
+            cut = b1 - int(np.argmax(both[::-1]))
+            parts += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
@@ -177,8 +197,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
         place = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         both = [(i, place[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in place]
         if not both:
-            if (a1 - a0) * (b1 - b0) <= GAP_CELLS:
-                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         anchors = [both[i] for i in increasing([j for _, j in both])]
         out += anchors
@@ -280,4 +299,4 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id", templates:
                 names=[row_id, "n_licenses", "licenses", "matches"],
             )
 
-    return docs.select(F.col(row_id), F.col(text)).mapInArrow(run, f"`{row_id}` {kind}, n_licenses bigint, licenses string, matches string")
+    return docs.select(F.col(row_id), F.col(text)).transform(mapped, run, f"`{row_id}` {kind}, n_licenses bigint, licenses string, matches string")

@@ -28,6 +28,53 @@ def test_alignment_is_a_common_subsequence():
         assert len(lc.align(u, v)) == longest_common(u, v)
 
 
+def test_gaps_without_anchors_are_aligned_whole():
+    rng = random.Random(5)
+    for n in (60, 80, 300):
+        u = [rng.randrange(9) for _ in range(n)]
+        assert len(lc.align(u, u)) == n
+        v = [rng.randrange(9) for _ in range(n)]
+        pairs = lc._common(u, v)
+        assert len(pairs) == longest_common(u, v) and all(u[i] == v[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def covered(words, template, needed):
+    """Whether some run of the text has enough of the template, by full tables."""
+    need, width = -(-len(template) * 4 // 5), int(len(template) * lc.SPREAD) + 2
+    for start in range(len(words)):
+        for end in range(start + need, min(len(words), start + width) + 1):
+            n = longest_common(words[start:end], template)
+            if n >= need and n >= lc.DENSITY * (end - start):
+                run = b" ".join(words[start:end])
+                if all(b" ".join(template[a:b]) in run for a, b in needed):
+                    return True
+    return False
+
+
+def test_scan_equals_brute_force():
+    rng = random.Random(12)
+    names = [n for n in lc.TEMPLATES if len(lc.words_of(lc.TEMPLATES[n][0])) <= 14]
+    chosen = {n: lc.TEMPLATES[n][:1] for n in names}
+    scanner = lc.Scanner(chosen)
+    vocabulary = sorted({w.decode() for n in names for w in lc.words_of(chosen[n][0])}) + [f"f{i}" for i in range(400)]
+    hits = 0
+    for _ in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(14))]
+        if rng.random() < 0.7:
+            notice = [w.decode() for w in lc.words_of(chosen[rng.choice(names)][0])]
+            for _ in range(rng.randrange(3)):
+                notice[rng.randrange(len(notice))] = rng.choice(vocabulary)
+            words[len(words) // 2 : len(words) // 2] = notice
+        text = " ".join(words)
+        want = {n for (n, _, t), needed in zip(scanner.templates, scanner.telling, strict=True) if covered(lc.words_of(text), t, needed)}
+        got = {m[2] for m in scanner.scan(text)}
+        # Of matches that overlap one is reported, so each license that is covered is found or lies over one that is.
+        assert got <= want and bool(got) == bool(want), text
+        hits += bool(got)
+    assert hits > 40
+
+
 def test_increasing_is_longest():
     rng = random.Random(2)
     for _ in range(200):
