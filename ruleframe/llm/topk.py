@@ -224,19 +224,21 @@ def _wave_results(spark: SparkSession, wave: dict[int, Wave], exact: DataFrame,
     by_query = Window.partitionBy("q")
     lows = bounded.where("vec_id IS NULL").withColumn("r", F.row_number().over(by_query.orderBy(F.desc("bound")))).where(F.col("r") == k)
     near = bounded.where("vec_id IS NOT NULL").join(lows.select("q", F.col("bound").alias("reach")), "q", "left").where(F.col("reach").isNull() | (F.col("bound") >= F.col("reach")))
-    ranked = near.select("q", "vec_id", "bound").distinct().withColumn("r", F.row_number().over(by_query.orderBy(F.desc("bound"), "vec_id")))
-    ranked = stored(ranked, "candidates")
+    near = stored(near.select("q", "vec_id", "bound").distinct(), "candidates")
 
     def fetched(candidates: DataFrame) -> DataFrame:
         rows = candidates.select("q", "vec_id").distinct().join(exact, F.col("vec_id") == F.col("id")).select("q", "vec_id", "dim", "exact")
         return rows.transform(mapped, _scored(shared), "q bigint, vec_id bigint, score bigint")
 
-    first = stored(fetched(ranked.where(F.col("r") <= FIRST * k)), "first-scores")
+    best_bounds = near.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("bound"), "vec_id"))).where(F.col("r") <= FIRST * k)
+    first = stored(fetched(best_bounds), "first-scores")
     kth = first.withColumn("s", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("s") == k).select("q", F.col("score").alias("least"))
-    rest = ranked.where(F.col("r") > FIRST * k).join(kth, "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-    # An id that stands for several vectors is fetched whole, in the first round if it can.
+    kth = stored(kth, "kth-scores")
+    rest = near.join(kth, "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
     rest = rest.join(first.select("q", "vec_id").distinct(), ["q", "vec_id"], "left_anti")
-    best = first.unionByName(fetched(rest)).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    # Most of the rest falls short of the k-th score: it goes before rows of a query meet.
+    more = fetched(rest).join(kth, "q", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
+    best = first.unionByName(more).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     names = spark.createDataFrame([(int(n), int(i)) for w in wave.values() for n, i in zip(w.numbers, w.ids, strict=True)], "q bigint, query_id bigint")
     return best.join(names, "q").select("query_id", "rank", "vec_id", "score")
 
