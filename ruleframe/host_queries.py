@@ -277,3 +277,52 @@ def interactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = {"define": "f(1) = 2. f(2) = 4.", "ask": "f(K)?", "print": "print f(1) + f(2).", "wrong": "f(1 ="}
     answers = {k: "|".join(repl.respond(s, t)) for k, t in said.items()}
     return rows(spark, {k: a.replace("\n", "|").split(":")[0] for k, a in answers.items()})
+
+
+@query(values(("term", "mine/2"), ("file", "elsewhere")))
+def place_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule knows its own name, arity and file."""
+    s = Session(spark)
+    s.execute("mine(A, B) = $term. where = $file.", file="elsewhere")
+    term = s.query("mine(1, 2)?", file="elsewhere")
+    return rows(spark, {"term": f"{term.args[0]}/{term.args[1]}", "file": s.query("where?", file="elsewhere")})
+
+
+@query(values(("first", "None"), ("second", "12"), ("third", "UnsafeRuleError")))
+def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells share a session; an error is a result."""
+    from ruleframe import notebook
+
+    cells: dict = {}
+
+    class Shell:
+        user_ns: dict = {}
+
+        def register_magic_function(self, f: Callable, kind: str, name: str) -> None:
+            cells[kind, name] = f
+
+    notebook.load_ipython_extension(Shell())
+    run = cells["cell", "rules"]
+    said = {"first": run("", "a = 5."), "second": run("", "a + 7?"), "third": run("", "any(X) max= 3. any(Y) > 2?")}
+    return rows(spark, {k: str(v).split(":")[0] for k, v in said.items()})
+
+
+@query("SELECT event_type, CAST(sum(event_id) AS BIGINT) s FROM events GROUP BY 1")
+def incremental_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each taken by a new object that finds its state on disk; the second is replayed."""
+    from ruleframe.streaming.incremental import IncrementalRelation
+
+    events, path = read(spark, sf_dir, "events"), f"{shared_dir(spark)}/restart-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        state = IncrementalRelation(spark, path, ["event_type"], "event_id", "+=")
+        state.apply(events.where(F.col("event_id") % 3 == batch), batch)
+    return IncrementalRelation(spark, path, ["event_type"], "event_id", "+=").result().select("event_type", F.col("v").cast("bigint").alias("s"))
+
+
+@query("SELECT l_suppkey s, l_returnflag f, sum(l_quantity) q FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) > 100")
+def nested_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate over values that are single already costs no second exchange."""
+    s = Session(spark)
+    s.register("li", read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"], "l_quantity")
+    s.execute("sum(S, F) += Q for Q = li(_, _, S, F). big(S, F) max= Q for Q = sum(S, F), Q > 100.")
+    return named(s.relation("big", 2), "s", "f", "q")

@@ -25,7 +25,9 @@ Of equally cheap repairs the one is taken whose last state comes first in
 merging.  The result does not depend on the partitions.
 
 Defined results: null roles and unknown names may be relabelled cheaply; a
-null text counts as empty.  Rows with a null conversation id form one
+null text counts as empty.  Repeated turns are turns of their own.  Only the four
+named columns are read, so others, whatever their names, play no part; an empty
+table gives an empty result.  Rows with a null conversation id form one
 conversation.  Turns with equal numbers are ordered by role, then text; null
 numbers come first.
 """
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ruleframe.llm.common import checkpointed, partitions_for
+from ruleframe.llm.common import BATCH_BYTES, checkpointed, mapped, partitions_for
 
 ROLES = ("system", "user", "assistant")
 #: The automaton's states: before the first message, or the last message's role.
@@ -50,6 +52,8 @@ ALIASES = {"human": "user", "customer": "user", "prompter": "user", "gpt": "assi
 RELABEL, RELABEL_UNKNOWN, INSERT = 3, 1, 2
 MERGE_SAME, MERGE_OTHER, MERGE_UNKNOWN = 1, 4, 2
 NEVER = 1 << 40
+#: Text of a partition, on average.
+PART_BYTES = 32 << 20
 
 
 def role_of(name: str | None) -> str | None:
@@ -164,17 +168,31 @@ def _edges(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": pa.array([i if len(ends) > 1 else 2], pa.int32()), "conv": pa.array([key], pa.string()), "m": pa.array([m.ravel().tolist()], pa.list_(pa.int64()))})
 
 
-def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def render(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The repaired conversations as text: ``<conv_id>, part, text``.
+
+    A conversation has one part for each partition that holds some of its turns
+    (one, unless it crosses a boundary); its parts joined in their order are its
+    rendering, so one of any length is never in one row.
+    """
+    return repair(turns, conv_id, turn, role, text, rendered=True)
+
+
+def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", rendered: bool = False) -> DataFrame:
     """One row per turn: ids, ``action``, ``role``, ``inserted``, ``cost``, ``piece``.
 
     ``inserted`` counts empty messages before the turn (after it as well for
-    the last turn of a conversation, ``is_last``).
+    the last turn of a conversation, ``is_last``).  ``rendered`` gives what
+    ``render`` says instead.
     """
     spark = turns.sparkSession
     source = turns.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
-    ordered = source.repartitionByRange(partitions_for(spark), "c", "t", "r", F.xxhash64("x")).sortWithinPartitions("c", "t", "r", "x")
+    # A run of one conversation is held in memory, so partitions have a bound.
+    size = source.agg(F.sum(F.coalesce(F.octet_length("x"), F.lit(0)) + F.lit(32)).alias("n")).first().n or 0
+    parts = max(partitions_for(spark), int(size) // PART_BYTES + 1)
+    ordered = source.repartitionByRange(parts, "c", "t", "r", F.xxhash64("x")).sortWithinPartitions("c", "t", "r", "x")
     ordered = checkpointed(ordered)
-    edges = ordered.mapInArrow(_edges, "part int, run int, conv string, m array<bigint>").collect()
+    edges = ordered.transform(mapped, _edges, "part int, run int, conv string, m array<bigint>").collect()
     # Runs at the ends of partitions in order; run 2 stands for a partition with one run.
     segments = sorted(((e.part, e.run, e.conv, np.array(e.m).reshape(4, 4)) for e in edges), key=lambda e: (e[0], e[1]))
     incoming: dict[tuple[int, int], np.ndarray] = {}
@@ -202,11 +220,16 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     ends = {c[-1] for c in crossing}
     shared = spark.sparkContext.broadcast((incoming, goal, ends))
     id_kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in (conv_id, turn))
-    schema = f"`{conv_id}` {id_kind}, `{turn}` {turn_kind}, action string, role string, inserted int, cost bigint, is_last boolean, piece string"
+    schema = f"`{conv_id}` {id_kind}, part bigint, text string" if rendered else f"`{conv_id}` {id_kind}, `{turn}` {turn_kind}, action string, role string, inserted int, cost bigint, is_last boolean, piece string"
+
+    def batch(rows: list[tuple], types: tuple) -> pa.RecordBatch:
+        if rendered:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((types[0], pa.int64(), pa.string()))], names=[conv_id, "part", "text"])
+        return _batch(rows, types, conv_id, turn)
 
     def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, goals, last_parts = shared.value
-        part, types, out = TaskContext.get().partitionId(), None, []
+        part, types, out, number, held = TaskContext.get().partitionId(), None, [], 0, 0
         runs = _numbered(_runs(_typed(source, kinds := [])))
         for place, rows in runs:
             types = kinds[0]
@@ -215,20 +238,29 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
             at = goals.get((part, place))
             ends_here = at is None or (part, place) in last_parts
             path = backward(costs, roles, final_state(costs[-1]) if at is None else at)
+            pieces = []
             for i, r in enumerate(rows):
                 p, q = STATES[path[i]], STATES[path[i + 1]]
                 cost, action = step(roles[i], p, q)
                 last = ends_here and i == len(rows) - 1
                 extra = len(CLOSING[q]) if last else 0
                 inserted = (0 if action == "merge" else len(INSERTS[p, q])) + extra
-                out.append((r[0], r[1], action, q, inserted, cost + INSERT * extra, last, render_turn(r[3], p, q, action, last)))
-            if len(out) > 2000:
-                yield _batch(out, types, conv_id, turn)
-                out = []
+                piece = render_turn(r[3], p, q, action, last)
+                if rendered:
+                    pieces.append(piece)
+                else:
+                    out.append((r[0], r[1], action, q, inserted, cost + INSERT * extra, last, piece))
+            if rendered:
+                out.append((rows[0][0], (part << 32) + number, "".join(pieces)))
+                number += 1
+            held += sum(len(r[3] or "") for r in rows)
+            if len(out) > 2000 or held > BATCH_BYTES:
+                yield batch(out, types)
+                out, held = [], 0
         if out:
-            yield _batch(out, types, conv_id, turn)
+            yield batch(out, types)
 
-    return ordered.mapInArrow(write, schema)
+    return ordered.transform(mapped, write, schema)
 
 
 def _typed(source: Iterator[pa.RecordBatch], kinds: list) -> Iterator[pa.RecordBatch]:
@@ -263,7 +295,7 @@ def _lead_back(ordered: DataFrame, incoming: dict[tuple[int, int], np.ndarray])
             costs = forward(shared.value[part, place], roles)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": pa.array([place], pa.int32()), "lead": pa.array([[backward(costs, roles, s)[0] for s in range(4)]], pa.list_(pa.int32()))})
 
-    return {(r.part, r.run): list(r.lead) for r in ordered.mapInArrow(run, "part int, run int, lead array<int>").collect()}
+    return {(r.part, r.run): list(r.lead) for r in ordered.transform(mapped, run, "part int, run int, lead array<int>").collect()}
 
 
 def _batch(rows: list[tuple], types: tuple, conv_id: str, turn: str) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ Plan
    rows always passes the twice-filter.
 3. Only keys that pass the twice-filter are shuffled (hot keys are counted in
    the map tasks first).  Exact counts decide which keys repeat, and the least
-   row id is the first occurrence.
+   row id has the first occurrence, which can be kept (``keep_first``).
 4. The repeated keys go back to the texts: as a broadcast set while their
    measured size is under ``broadcast_bytes``, by joins on the key and then on
    the row id beyond it.  Both ways return the same rows.
@@ -31,14 +31,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ruleframe.llm.common import ASCII_SPACE, stored
+from ruleframe.llm.common import ASCII_SPACE, mapped, stored
 
 BLOCK_BITS = 20
 FILTER_BITS = 30
@@ -127,9 +127,9 @@ def bits_for(docs: DataFrame, text: str, most: int) -> int:
 def repeat_filter(docs: DataFrame, text: str = "text", bits: int = FILTER_BITS) -> dict[int, bytes]:
     """Compressed blocks of the twice-filter: at most ``2 ** bits`` bits."""
     schema = "block int, once binary, twice binary"
-    local = docs.select(text).mapInArrow(_local_filters(text, bits), schema)
+    local = docs.select(text).transform(mapped, _local_filters(text, bits), schema)
     blocks = max(1, 1 << max(0, bits - BLOCK_BITS))
-    merged = local.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(_merge_filters, schema)
+    merged = local.repartition(blocks, "block").sortWithinPartitions("block").transform(mapped, _merge_filters, schema)
     return {r.block: bytes(r.twice) for r in merged.select("block", "twice").collect()}
 
 
@@ -167,7 +167,7 @@ def suspects(docs: DataFrame, text: str, row_id: str | None, shared, bits: int)
                     columns["row"] = ids.take(pa.array(at_out, pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(text, *([row_id] if row_id else [])).mapInArrow(run, "key binary" + (f", row {kind}" if row_id else ""))
+    return docs.select(text, *([row_id] if row_id else [])).transform(mapped, run, "key binary" + (f", row {kind}" if row_id else ""))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_documents: int = 10, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -183,14 +183,16 @@ def repeated_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     return counted.where(F.col("n_documents") >= min_documents)
 
 
-OUT = "n_lines bigint, n_dropped bigint, kept string"
-
-
-def _strip(values: list[str | None], drop) -> dict[str, list]:
+def _strip(values: list[str | None], drops: list[Container[bytes]], firsts: list[set[bytes]]) -> dict[str, list]:
+    """Texts without the lines whose keys are in ``drops``, but for the first of each in ``firsts``."""
     out: dict[str, list] = {"n_lines": [], "n_dropped": [], "kept": []}
-    for value in values:
-        lines = lines_of(value)
-        kept = [x for x in lines if not drop(line_key(x))]
+    for value, drop, first in zip(values, drops, firsts, strict=True):
+        lines, kept, left = lines_of(value), [], set(first)
+        for line in lines:
+            key = line_key(line)
+            if key not in drop or key in left:
+                kept.append(line)
+                left.discard(key)
         out["n_lines"].append(len(lines))
         out["n_dropped"].append(len(lines) - len(kept))
         out["kept"].append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
@@ -204,35 +206,44 @@ def drop_repeated_lines(
     min_documents: int = 10,
     filter_bits: int = FILTER_BITS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    keep_first: bool = False,
 ) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped``.
 
-    All columns of ``docs`` stay as they are but for ``text``; input columns
-    named ``n_lines`` or ``n_dropped`` are replaced.
+    A repeated line goes from every row, or with ``keep_first`` from all but its
+    first occurrence (in rows of the least id that has it; rows without an id
+    are never first).  All columns of ``docs`` stay as they are but for
+    ``text``; input columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     repeated = stored(repeated_lines(docs, text, row_id, min_documents, filter_bits), "repeated-lines")
-    size = repeated.agg(F.sum(F.octet_length("key") + F.lit(64)).alias("n")).first().n or 0
+    id_bytes = F.octet_length(F.col("first_row").cast("string").cast("binary")) if keep_first else F.lit(0)
+    size = repeated.agg(F.sum(F.octet_length("key") + F.coalesce(id_bytes, F.lit(0)) + F.lit(64)).alias("n")).first().n or 0
     names = docs.columns
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in repeated.select("key").toLocalIterator()))
-        at = names.index(text)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
+    if size > broadcast_bytes:
+        return _drop_by_join(docs, repeated, text, row_id, keep_first)
+    first = {bytes(r.key): r.first_row if keep_first else None for r in repeated.select("key", "first_row").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(first)
+    at, id_at = names.index(text), names.index(row_id)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
 
-        def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            drop = shared.value.__contains__
-            for batch in source:
-                done = _strip(batch.column(at).to_pylist(), drop)
-                columns = list(batch.columns)
-                columns[at] = pa.array(done["kept"], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(done["n_lines"], pa.int64()), pa.array(done["n_dropped"], pa.int64())], names=[*names, "n_lines", "n_dropped"])
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = shared.value
+        for batch in source:
+            texts, own = batch.column(at).to_pylist(), [set()] * batch.num_rows
+            if keep_first:
+                ids = batch.column(id_at).to_pylist()
+                own = [{k for k in map(line_key, lines_of(t)) if k in first and i is not None and first[k] == i} for t, i in zip(texts, ids, strict=True)]
+            done = _strip(texts, [first] * len(texts), own)
+            columns = list(batch.columns)
+            columns[at] = pa.array(done["kept"], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(done["n_lines"], pa.int64()), pa.array(done["n_dropped"], pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-        return docs.mapInArrow(run, schema)
-    return _drop_by_join(docs, repeated, text)
+    return docs.transform(mapped, run, schema)
 
 
-def _drop_by_join(docs: DataFrame, repeated: DataFrame, text: str) -> DataFrame:
+def _drop_by_join(docs: DataFrame, repeated: DataFrame, text: str, row_id: str, keep_first: bool) -> DataFrame:
     """The way beyond the broadcast bound.
 
     Rows get a salted surrogate so that equal ids stay apart; a hot line is
@@ -248,24 +259,24 @@ def _drop_by_join(docs: DataFrame, repeated: DataFrame, text: str) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_pydict({"__row": pa.array([row] * len(keys), pa.string()), "key": pa.array(keys, pa.binary())})
 
-    marks = tagged.select("__row", text).mapInArrow(explode, "__row string, key binary").join(repeated.select("key"), "key", "left_semi")
-    per_row = marks.groupBy("__row").agg(F.collect_list("key").alias("__drop"))
-    joined = tagged.join(per_row, "__row", "left").drop("__row")
+    marks = tagged.select("__row", text).transform(mapped, explode, "__row string, key binary").join(repeated.select("key", "first_row"), "key")
+    per_row = marks.groupBy("__row").agg(F.collect_list(F.struct("key", "first_row")).alias("__drop"))
+    stays = (lambda d: F.coalesce(d["first_row"] == F.col(row_id), F.lit(False))) if keep_first else (lambda d: F.lit(False))
+    joined = tagged.join(per_row, "__row", "left").drop("__row").withColumn("__drop", F.transform("__drop", lambda d: F.struct(d["key"].alias("key"), stays(d).alias("first"))))
     names = joined.columns
     at = names.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            drops = batch.column(len(names) - 1).to_pylist()
-            parts = [_strip([v], set(d or ()).__contains__) for v, d in zip(batch.column(at).to_pylist(), drops, strict=True)]
+            marks = [row or () for row in batch.column(len(names) - 1).to_pylist()]
+            drops, own = ([{bytes(d["key"]) for d in row if d["first"] or every} for row in marks] for every in (True, False))
+            done = _strip(batch.column(at).to_pylist(), drops, own)
             columns = list(batch.columns)[:-1]
-            columns[at] = pa.array([p["kept"][0] for p in parts], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(pa.array([p[k][0] for p in parts], pa.int64()) for k in ("n_lines", "n_dropped"))], names=[*names[:-1], "n_lines", "n_dropped"]
-            )
+            columns[at] = pa.array(done["kept"], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(done[k], pa.int64()) for k in ("n_lines", "n_dropped"))], names=[*names[:-1], "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.transform(mapped, run, schema)
 
 
 def digest(cleaned: DataFrame, text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ruleframe.llm.common import partitions_for, stored
+from ruleframe.llm.common import mapped, partitions_for, stored
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 PROBES = 16
@@ -62,7 +62,7 @@ def histogram(sized: DataFrame, probes: list[int]) -> tuple[list[int], list[int]
         full = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, n[0][full], n[1][full])], names=["cell", "n", "b"])
 
-    cells = sized.select("key", "size").mapInArrow(count, "cell bigint, n bigint, b bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()
+    cells = sized.select("key", "size").transform(mapped, count, "cell bigint, n bigint, b bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()
     rows, size = [0] * (len(edges) + 1), [0] * (len(edges) + 1)
     for c in cells:
         rows[c.cell], size[c.cell] = c.n, c.b
@@ -143,7 +143,7 @@ def shard_rows(
             bucket = np.searchsorted(edges_np, batch.column(at).to_numpy(), side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], names=[*names, "__bucket"])
 
-    moved = keyed.mapInArrow(locate, schema + ", __bucket int").repartitionById(shards * buckets, "__bucket")
+    moved = keyed.transform(mapped, locate, schema + ", __bucket int").repartitionById(shards * buckets, "__bucket")
     ordered = moved.sortWithinPartitions("__bucket", "__key", row_id)
 
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def shard_rows(
                     before[b] = before.get(b, 0) + int(hi - lo)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array((bucket // buckets).astype(np.int32)), pa.array(slot)], names=[*names, "shard", "slot"])
 
-    return ordered.mapInArrow(number, schema + ", shard int, slot bigint").drop("__key", "__size")
+    return ordered.transform(mapped, number, schema + ", shard int, slot bigint").drop("__key", "__size")
 
 
 def digest(sharded: DataFrame, text: str = "text") -> DataFrame:

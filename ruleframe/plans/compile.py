@@ -673,6 +673,10 @@ class Compiler:
         for r in rules:
             groups.setdefault(r.aggregator, []).append(contribution(r))
         arity = rules[0].arity
+        if len(rules) == 1 and self.keeps_keys(rules[0]):
+            # Each key has one value already, so there is nothing to aggregate.
+            (frames,) = groups.values()
+            return frames[0].drop("n").where(F.col("v").isNotNull())
         done = [self.aggregated(united(frames), arity, op) for op, frames in groups.items()]
         if len(done) == 1:
             return done[0]
@@ -681,6 +685,21 @@ class Compiler:
         checked = F.when(F.col("c") == 1, F.col("v")).otherwise(F.raise_error(F.lit("several aggregators give a value to one key")).cast(once.schema["v"].dataType))
         return once.select(*keys, checked.alias("v"))
 
+    def keeps_keys(self, r: Rule) -> bool:
+        """Whether a rule gives each key one value, as it only renames or filters a derived relation."""
+        if r.aggregator not in ("=", "+=", "*=", "max=", "min=", "?=", "|=", "&="):
+            return False
+        calls = [g for g in r.part.goals if g.kind != "unify"]
+        relations = [g for g in calls if g.kind == "call" and self.has_relation(g)]
+        if len(relations) != 1 or any(g.kind != "call" or (g is not relations[0] and g.name not in TESTS and (g.name, len(g.args)) not in MODES) for g in calls):
+            return False
+        f = self.session.functor(relations[0].name, len(relations[0].args), r.file)
+        if f is None or f.frame is not None or f.key in self.pending:
+            return False
+        names = [a.name for a in relations[0].args if isinstance(a, V)]
+        head = [h.name for h in r.head if isinstance(h, V)]
+        return len(set(names)) == len(names) == sum(bool(variables(a)) for a in relations[0].args) and set(names) <= set(head)
+
     def aggregated(self, rows: DataFrame, arity: int, op: str) -> DataFrame:
         keys = [f"a{i}" for i in range(arity)]
         kind = rows.schema["v"].dataType

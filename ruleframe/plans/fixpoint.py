@@ -2,7 +2,8 @@
 
 All functors of a cycle are computed together.  Aggregators that may merge a
 delta (``min= max= :- |= &= ?=``) join only the rows that changed in the last
-round, once for each place where a rule calls a functor of the cycle.  The
+round, once for each place where a rule calls a functor of the cycle; of what
+they give, only rows that are new or better (``min= max=``) go on.  The
 others (sums, products, means, lists, unique and overriding values) recompute
 their groups from all contributions until nothing changes.
 
@@ -23,6 +24,8 @@ from ruleframe.plans.compile import Compiler, called, united
 from ruleframe.plans.terms import RuleError
 
 MOST_ROUNDS = 1000
+#: When a value replaces a known one.
+BETTER = {"min=": lambda new, old: new < old, "max=": lambda new, old: new > old, ":-": lambda new, old: F.lit(False)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def improved(found: DataFrame, full: DataFrame, arity: int, op: str) -> DataFrame:
+    """Rows that are new or better than what is known; all others end here and lead to no further rows."""
+    keys = [f"a{i}" for i in range(arity)]
+    known = full.select(*keys, F.col("v").alias("__known"))
+    better = BETTER[op](F.col("v"), F.col("__known"))
+    return checkpointed(found.join(known, keys, "left").where(F.col("__known").isNull() | better).select(*keys, "v"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables, each with one row a key, hold the same rows.
 
@@ -86,6 +97,7 @@ def solve(compiler: Compiler, functor: Any) -> dict[tuple, DataFrame]:
         for _ in range(MOST_ROUNDS):
             compiler.pending.update(full)
             new: dict[tuple, DataFrame] = {}
+            fresh: dict[tuple, DataFrame | None] = {}
             for f in members:
                 if incremental:
                     found = []
@@ -98,12 +110,23 @@ def solve(compiler: Compiler, functor: Any) -> dict[tuple, DataFrame]:
                         new[f.key] = full[f.key]
                         continue
                     op = f.rules[0].aggregator
+                    if op in BETTER and f.arity:
+                        better = improved(compiler.aggregated(united([x.drop("n") for x in found]), f.arity, op), full[f.key], f.arity, op)
+                        if better.isEmpty():
+                            fresh[f.key], new[f.key] = None, full[f.key]
+                        else:
+                            keys = [f"a{i}" for i in range(f.arity)]
+                            fresh[f.key], new[f.key] = better, checkpointed(full[f.key].join(better, keys, "left_anti").unionByName(better))
+                        continue
                     new[f.key] = checkpointed(compiler.aggregated(united([full[f.key], *(x.drop("n") for x in found)]), f.arity, op))
                 else:
                     new[f.key] = checkpointed(compiler.combined(f.rules, compiler.contribution))
             settled = True
             for f in members:
-                if new[f.key] is full[f.key]:
+                if f.key in fresh:
+                    delta[f.key] = fresh[f.key]
+                    settled &= fresh[f.key] is None
+                elif new[f.key] is full[f.key]:
                     delta[f.key] = None
                 elif incremental:
                     changed = new[f.key].exceptAll(full[f.key])

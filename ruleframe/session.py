@@ -318,7 +318,7 @@ class Session:
         return self.relation(name, arity)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def normaliser(self, params: tuple = ()) -> Normaliser:
-        return Normaliser(params, self.disposed, self.expand)
+        return Normaliser(params, self.disposed, self.expand, (self._file_now, "$query", 0))
 
     def statement(self, tree: Term, file: str, params: tuple) -> None:
         if tree.name == "$define":

@@ -49,6 +49,20 @@ def run(spark, rows, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_rendered_conversations(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", "gpt", None]), f"c{c}t{t}", "a", 1) for c in range(6) for t in range(rng.choice((1, 3, 200)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, action string, part int").repartition(3)
+    want, got = {}, {}
+    for r in sorted(chat.repair(df).collect(), key=lambda r: (r.conv_id, r.turn)):
+        want[r.conv_id] = want.get(r.conv_id, "") + r.piece
+    for r in sorted(chat.render(df).collect(), key=lambda r: (r.conv_id, r.part)):
+        got[r.conv_id] = got.get(r.conv_id, "") + r.text
+    assert got == want
+    for text in got.values():
+        roles_in(text)
+
+
 @pytest.mark.parametrize("parts", [1, 9])
 def test_all_short_conversations(spark, parts):
     rows = []

@@ -49,6 +49,26 @@ def test_first_occurrence(spark):
     assert [(bytes(r.key), r.n_documents, r.first_row) for r in got] == [(b"same", 3, 4)]
 
 
+def test_first_occurrence_can_stay(spark):
+    rng = random.Random(8)
+    rows = [(i % 45, "\n".join(rng.choice((f"Line {rng.randrange(12)} ", f"own {i} {j}")) for j in range(rng.randrange(7)))) for i in range(60)] + [(None, "line 3\nline 4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = [{k for k in map(ld.line_key, ld.lines_of(t)) if k} for _, t in rows]
+    count = Counter(k for ks in keys for k in ks)
+    first = {k: min(i for (i, _), ks in zip(rows, keys, strict=True) if k in ks and i is not None) for k, n in count.items() if n >= 5}
+    want = []
+    for i, t in rows:
+        seen, kept = set(), []
+        for x in ld.lines_of(t):
+            k = ld.line_key(x)
+            if k not in first or (i == first[k] and k not in seen):
+                kept.append(x)
+                seen.add(k)
+        want.append((i, len(ld.lines_of(t)), len(ld.lines_of(t)) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    for size in (1 << 20, 0):
+        assert rows_of(ld.digest(ld.drop_repeated_lines(docs, min_documents=5, broadcast_bytes=size, keep_first=True))) == sorted(want, key=repr)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     for size in (1 << 20, 0):
         got = ld.drop_repeated_lines(odd_docs, min_documents=2, broadcast_bytes=size)

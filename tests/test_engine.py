@@ -171,3 +171,43 @@ def test_a_memoised_relation_is_computed_once(spark):
     plan = s.explain("top", 0)
     assert "ExistingRDD" in plan or "LogicalRDD" in plan or "Scan ExistingRDD" in plan
     assert [int(r.v) for r in s.relation("top", 0).collect()] == [155] and [int(r.v) for r in s.relation("low", 0).collect()] == [135]
+
+
+def test_renaming_a_derived_relation_needs_no_aggregate(spark):
+    s = Session(spark)
+    s.register("t", spark.range(40).selectExpr("id % 5 k", "id v", "id % 2 g"), ["k", "g", "v"])
+    s.execute("sum(K, G) += V for t(K, G, V). half(G, K) = X / 2 for X = sum(K, G), X > 10. best(K) max= sum(K, _).")
+    got = {tuple(r)[:2]: float(r[2]) for r in s.relation("half", 2).collect()}
+    want = {}
+    for i in range(40):
+        want[i % 2, i % 5] = want.get((i % 2, i % 5), 0) + i
+    assert got == {k: v / 2 for k, v in want.items() if v > 10}
+    inner, outer, other = (s.explain(n, a).count("Exchange hashpartitioning") for n, a in (("sum", 2), ("half", 2), ("best", 1)))
+    assert inner == outer < other
+
+
+def test_place_of_a_rule(tmp_path):
+    (tmp_path / "here.rules").write_text("me(X) = $term for X = 4. where = $file.\n")
+    s = Session()
+    s.run_file(tmp_path / "here.rules")
+    s.execute(f':- import "{tmp_path}/here.rules".')
+    s.execute("mine(A, B) = $term. assert mine(1, 2) = &$term(\"mine\", 2).")
+    assert s.query("$file?") == "main"
+
+
+def test_notebook_cells(capsys):
+    from ruleframe import notebook
+
+    class Shell:
+        user_ns = {"mine": Session()}
+
+        def register_magic_function(self, f, kind, name):
+            self.magic = {(kind, name): f}
+
+    shell = Shell()
+    notebook.load_ipython_extension(shell)
+    cell = shell.magic["cell", "rules"]
+    assert cell("", "a = 4. print a + 1.") is None and capsys.readouterr().out == "5\n"
+    assert cell("", "a * 2?") == 8
+    assert cell("mine", "b = 1. b?") == 1 and shell.user_ns["mine"].query("b?") == 1
+    assert repr(cell("", "a = ")).startswith("SyntaxProblem")
