@@ -40,6 +40,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from math import isnan
 
 import numpy as np
 import pyarrow as pa
@@ -275,12 +276,18 @@ def ending_ratios(model: tuple[DataFrame, DataFrame], listed: DataFrame) -> Data
     return reduce(DataFrame.unionByName, found).select("ending", (log["tox"] - log["ord"]).alias("ratio"))
 
 
+def known_ratios(keys: np.ndarray, ratios: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Ratio of each ending, by a search in the sorted ``keys``; NaN where they lack it."""
+    if not len(keys):
+        return np.full(len(packed), np.nan)
+    at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
+    return np.where(keys[at] == packed, ratios[at], np.nan)
+
+
 def word_ratios(keys: np.ndarray, ratios: np.ndarray, words: list[bytes]) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary); NaN where ``keys`` lack an ending."""
     number, packed = endings(words)
-    at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))
-    each = np.where(keys[at] == packed, ratios[at], np.nan) if len(keys) else np.full(len(packed), np.nan)
-    return np.bincount(number, weights=each, minlength=len(words))
+    return np.bincount(number, weights=known_ratios(keys, ratios, packed), minlength=len(words))
 
 
 def features(ratios: np.ndarray) -> list[float]:
@@ -333,15 +340,20 @@ def _featured(shared):
             for s in range(0, len(new), ROUND_WORDS):
                 cache.update(zip(new[s : s + ROUND_WORDS], word_ratios(keys, ratios, new[s : s + ROUND_WORDS]).tolist(), strict=True))
             rows = [features(np.array([cache[w] for w in words])) for words in texts]
-            lacking = [_absent(keys, list({w for w in words if np.isnan(cache[w])})) if np.isnan(r[0]) else None for r, words in zip(rows, texts, strict=True)]
+            lacking = [absent(keys, ratios, [w for w in set(words) if isnan(cache[w])]) if isnan(r[0]) else None for r, words in zip(rows, texts, strict=True)]
             found = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *found, pa.array(lacking, pa.list_(pa.int64()))], names=["id", "text_key", *NAMES, "lacking"])
 
     return run
 
 
-def _absent(keys: np.ndarray, words: list[bytes]) -> np.ndarray:
-    return np.setdiff1d(endings(words)[1], keys)
+def absent(keys: np.ndarray, ratios: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Endings of the words that ``keys`` lack.
+
+    Runs for each text, so it searches the keys and never goes through all of them.
+    """
+    packed = endings(words)[1]
+    return np.unique(packed[np.isnan(known_ratios(keys, ratios, packed))])
 
 
 def _featured_alone(shared):
@@ -355,8 +367,7 @@ def _featured_alone(shared):
                 words = pieces_of(text.as_py())
                 once = list(set(words))
                 number, packed = endings(once)
-                at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))
-                each = np.where(keys[at] == packed, ratios[at], np.nan) if len(keys) else np.full(len(packed), np.nan)
+                each = known_ratios(keys, ratios, packed)
                 own_keys, own_ratios = (own.values.field(c).to_numpy(zero_copy_only=False) for c in ("ending", "ratio"))
                 order = np.argsort(own_keys)
                 lack = np.flatnonzero(np.isnan(each))
